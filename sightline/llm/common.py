@@ -44,6 +44,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that written() made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most_rows: int = 1_000_000) -> DataFrame:
+    """big join small: sent to every task if its rows, counted first, are few; shuffled otherwise."""
+    return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
+
+
 def folded(text: Column | str) -> Column:
     """Text with A-Z lower-cased and everything else untouched; null is empty."""
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)
