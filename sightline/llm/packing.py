@@ -15,9 +15,6 @@ from pyspark.sql.window import Window
 from .common import parts, written
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SHORT_OF_CACHE = 64  # longer chunks are not worth keeping
-
-
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -28,30 +25,78 @@ class ChunkEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are the ids of its
-    space-separated chunks in turn; chunks recur, and their ids are kept in a table of bounded size.
+    space-separated chunks in turn. Chunks recur: those met are kept in a table of bounded size, and the
+    new ones of several texts are encoded in one call. Marks that end a chunk after a letter or digit are
+    encoded apart from it, as the tokenizer does.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
-        from tokenizers import Tokenizer
+    MARKS = ".,;:!?"
 
-        self.encode, self.keep, self.known = Tokenizer.from_file(path).encode, keep, {"": b""}
-
-    def chunk(self, chunk: str) -> bytes:
-        ids = np.asarray(self.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) < SHORT_OF_CACHE:
-            if len(self.known) >= self.keep:
-                self.known = {"": b""}
-            self.known[chunk] = ids
-        return ids
+    def __init__(self, path: str, keep: int = 800_000, longest: int = 64):
+        from tokenizers import Tokenizer
 
-    def __call__(self, text: str) -> bytes:
-        known, out = self.known.get, []
-        for chunk in text.replace("\n", " ").split(" "):
-            if (ids := known(chunk)) is None:
-                ids = self.chunk(chunk)
-                known = self.known.get
-            out.append(ids)
-        return b"".join(out)
+        self.encode, self.keep, self.longest, self.known = Tokenizer.from_file(path).encode, keep, longest, {"": b""}
+
+    def learn(self, chunks: set[str], extra: dict[str, bytes]) -> None:
+        """Ids of chunks into the table, or into extra if too long to keep."""
+        halves = {}
+        for c in chunks:
+            low = c.lower() if c.isascii() and "<|" not in c else c  # as the tokenizer does
+            stem = low.rstrip(self.MARKS)
+            halves[c] = (stem, low[len(stem) :]) if stem[-1:].isalnum() else (low, "")
+        new = [h for h in {h for pair in halves.values() for h in pair} if h not in self.known]
+        plain, ids = [h for h in new if "<|" not in h], {}
+        if plain:
+            found = self.encode(plain, is_pretokenized=True, add_special_tokens=False)
+            flat = np.array(found.ids, dtype="<u4").tobytes()
+            ends = 4 * np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(plain)).cumsum()
+            a = 0
+            for h, b in zip(plain, ends.tolist(), strict=True):
+                ids[h], a = flat[a:b], b
+        for h in new:
+            if "<|" in h:  # names of special tokens are looked for in the raw text
+                ids[h] = np.array(self.encode(h, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for h, x in ids.items():
+            (self.known if len(h) <= self.longest else extra)[h] = x
+        for c, (stem, tail) in halves.items():
+            if stem != c:
+                both = (self.known.get(stem) or extra.get(stem, b"")) + (self.known.get(tail) or extra.get(tail, b""))
+                (self.known if len(c) <= self.longest else extra)[c] = both
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > self.keep:
+            self.known = {"": b""}
+        extra: dict[str, bytes] = {}
+        if new := set().union(*split).difference(self.known):
+            self.learn(new, extra)
+        known = self.known
+        if extra:
+            return [b"".join([known[c] if c in known else extra[c] for c in chunks]) for chunks in split]
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """The encoder of this worker process, so that later tasks find the chunks that earlier ones met."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_sightline_encoders", {})
+    if path not in kept:
+        kept[path] = ChunkEncoder(path)
+    return kept[path]
+
+
+def in_groups(column, chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(first place, texts) of successive texts of a column, about so many characters at a time; null is empty."""
+    group, first, size = [], 0, 0
+    for i, text in enumerate(column):
+        group.append(text.as_py() or "")
+        size += len(group[-1])
+        if size >= chars:
+            yield first, group
+            group, first, size = [], i + 1, 0
+    if group:
+        yield first, group
 
 
 def tokenized(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -59,19 +104,20 @@ def tokenized(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_i
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, wide = ChunkEncoder(path), 4 * capacity
+        encode, wide = encoder(path), 4 * capacity
         for batch in batches:
             out: list[tuple] = []
-            for ident, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                for k, a in enumerate(range(0, len(ids), wide)):
-                    part = ids[a : a + wide]
-                    out.append((ident.as_py(), k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+            names = batch.column(0).to_pylist()
+            for first, texts in in_groups(batch.column(1)):
+                for i, ids in enumerate(encode(texts), first):
+                    ids += end
+                    for k, a in enumerate(range(0, len(ids), wide)):
+                        part = ids[a : a + wide]
+                        out.append((names[i], k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             n = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays(arrays[:n], names[:n])
+            yield pa.RecordBatch.from_arrays(arrays[:n], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:n])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE + (", ids binary" if with_ids else ""))
 

@@ -157,3 +157,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with
         F.when(every, F.lit(none)).otherwise(F.coalesce("left_digest", "digest")).alias("kept_sha256"),
         *([F.when(every, F.lit("")).otherwise(F.col("left_text")).alias("kept_text"), "key"] if with_text else []),
     )
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The same rows in DuckDB, from every window, for distinct ids."""
+    return rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    g AS (SELECT doc_id, i, array_to_string(words[i:i + {window - 1}], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(words) - {window - 2}, 1))) AS i)),
+    twice AS (SELECT md5(g) AS g FROM g GROUP BY md5(g) HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT doc_id, i + k AS i FROM g SEMI JOIN twice ON md5(g.g) = twice.g, range({window}) r(k)),
+    word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
