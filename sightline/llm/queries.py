@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, packing, quality, sharding, substrings, vectors
+from . import licenses, mixing, neighbours, packing, quality, sharding, substrings, vectors
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_quality(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op4_quality_rules, op5_sharding, op7_best_fit_packing, op8_substring_dedup, op9_mixing, op10_embedding_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op3_ngram_jaccard_join, op4_quality_rules, op5_sharding, op7_best_fit_packing, op8_substring_dedup, op9_mixing, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle(), "op4_quality_rules": quality.oracle(), "op8_substring_dedup": substrings.oracle(), "op9_mixing": mixing.oracle()}
