@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, neighbours, packing, quality, sharding, substrings, vectors
+from . import language, licenses, mixing, neighbours, packing, quality, sharding, substrings, toxicity, vectors
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -42,5 +50,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op3_ngram_jaccard_join, op4_quality_rules, op5_sharding, op7_best_fit_packing, op8_substring_dedup, op9_mixing, op10_embedding_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_toxicity, op3_ngram_jaccard_join, op4_quality_rules, op5_sharding, op6_language_id, op7_best_fit_packing, op8_substring_dedup, op9_mixing, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle(), "op4_quality_rules": quality.oracle(), "op8_substring_dedup": substrings.oracle(), "op9_mixing": mixing.oracle()}
