@@ -123,7 +123,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_terms: int = 20_000, least_texts: int = 5, least_weight: float = 2.5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_terms: int = 20_000, least_texts: int = 5, least_weight: float = 3.0) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), held-out rows (crc32 of the id mod 4 is 2) left aside.
 
     Bound: about most_rows labelled rows, chosen by a hash of the id, are used. A term is a word or a word's beginning; its weight is
@@ -146,9 +146,16 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_term
     clean = {r["term"]: r["n"] for r in clean.collect()}
     weigh = lambda t: math.log((toxic[t] + 0.5) / (many[1] + 1)) - math.log((clean.get(t, 0) + 0.5) / (many[0] + 1))
     lexicon: dict[str, float] = {}
-    for t in sorted(toxic, key=lambda t: (len(t), t)):
-        if (weight := weigh(t)) >= least_weight and not any(lexicon.get(t[:n], 0) >= weight - 1 for n in range(2, len(t))):
-            lexicon[t] = weight  # a beginning that says as much stands for its longer forms
+    said: Counter[str] = Counter()  # toxic texts of a beginning that a longer term in the lexicon already explains
+    for t in sorted(toxic, key=lambda t: (-round(weigh(t), 1), len(t), t)):
+        weight = weigh(t)
+        if weight < least_weight:
+            break
+        if toxic[t] - said[t] < least_texts or any(lexicon.get(t[:n], 0) >= weight - 1 for n in range(2, len(t))):
+            continue
+        lexicon[t] = weight  # a beginning that says as much stands for its longer forms
+        for n in range(2, len(t)):
+            said[t[:n]] = max(said[t[:n]], toxic[t])
     if not lexicon:
         return Model({f" {w}": x for w, x in STARTING.items()})
     model = Model(lexicon)
