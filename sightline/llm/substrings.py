@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
@@ -93,17 +94,19 @@ def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
     return step.cumsum()[:n_words] > 0
 
 
-def _cut(window: int, with_text: bool):
+def _cut(window: int):
+    """Removed words, the digest of the others, and the spans [from, to) of removed words, in words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
                 words = split_words(batch.column("text")[i].as_py())
                 gone = covered(np.asarray(batch.column("starts")[i].values, dtype=np.int64), len(words), window)
-                kept = [w for w, g in zip(words, gone, strict=True) if not g]
-                out.append((batch.column("key")[i].as_py(), int(gone.sum()), digest(kept), " ".join(kept) if with_text else None))
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+                out.append((batch.column("key")[i].as_py(), int(gone.sum()), digest([w for w, g in zip(words, gone, strict=True) if not g]), edges.tolist()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["key", "gone", "left_digest", "left_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())), strict=True)], ["key", "gone", "left_digest", "spans"])
 
     return run
 
@@ -133,7 +136,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     return rows, texts.select("key", "text"), starts
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with_spans: bool = False) -> DataFrame:
     """Remove from every whole text of docs (doc_id, text) each word in a window of words that starts anywhere else too.
 
     Seeds are winnowed 20-word runs, about one in eight words. Seeds that two texts share, or that recur in one, are
@@ -141,12 +144,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with
     hash recur, and their union is the maximal repeats. Groups are compared by the smallest and largest member of a class, never
     pair by pair. Rows with equal texts of 35 words or more lose everything, since each window starts in the other too.
 
-    Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, with with_text, kept_text (null: nothing
-    was removed). Null and empty texts have no words; repeated rows are copies of each other; an empty table gives no rows; other columns are
+    Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, with with_spans, key (a hash of the text) and
+    spans (from, to, from, ... in words; null: nothing was removed). Null and empty texts have no words; repeated rows are copies of each other; an empty table gives no rows; other columns are
     ignored. Texts are read twice; only those with a shared seed are written in between.
     """
     rows, texts, starts = repeated_windows(docs, window, seed)
-    cut = texts.join(starts, "key").mapInArrow(_cut(window, with_text), "key long, gone long, left_digest string, left_text string").dropDuplicates(["key"])
+    cut = texts.join(starts, "key").mapInArrow(_cut(window), "key long, gone long, left_digest string, spans array<int>").dropDuplicates(["key"])
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
     parts = written(copies.join(cut, "key", "left").filter("copies > 1 OR gone IS NOT NULL"), "repeat-cut")
     every = (F.col("copies") > 1) & (F.col("n_words") >= window)
@@ -155,10 +158,36 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with
     return out.select(
         "doc_id", "n_words", F.when(every, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
         F.when(every, F.lit(none)).otherwise(F.coalesce("left_digest", "digest")).alias("kept_sha256"),
-        *([F.when(every, F.lit("")).otherwise(F.col("left_text")).alias("kept_text"), "key"] if with_text else []),
+        *(["key", F.when(every, F.array(F.lit(0), F.col("n_words").cast("int"))).otherwise(F.col("spans")).alias("spans")] if with_spans else []),
     )
 
 
+def documents_without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """docs with repeats cut out of their texts: the kept words joined by one space, n_chars set anew where there is such a column.
+
+    Texts without a repeat stay as they are. A document that loses all its words goes.
+    """
+    found = remove_repeats(docs, window, seed, with_spans=True).filter("n_removed > 0")
+    spans = written(found.groupBy("key").agg(F.first("spans").alias("spans"), F.first(F.col("n_removed") == F.col("n_words")).alias("all_gone")), "repeat-spans")
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+        def one(text, cut):
+            if cut is None:
+                return text
+            words, at = split_words(text), [0, *cut, None]
+            return " ".join(w for a, b in zip(at[::2], at[1::2], strict=True) for w in words[a:b])
+
+        return pd.Series([one(t, c) for t, c in zip(texts, cuts, strict=True)], dtype=object)
+
+    columns = docs.columns
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    cut = joined_small(own, spans, "key", "left", most_rows=200_000).filter("all_gone IS NULL OR NOT all_gone")
+    cut = cut.withColumn("text", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(kept(F.col("row.text"), F.col("spans"))))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("spans").isNull(), F.col("row").getField("n_chars") if "n_chars" in columns else F.lit(0)).otherwise(F.length("text")).cast("long")}
+    return cut.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns))
+
+
 def oracle(window: int = WINDOW) -> str:
     """The same rows in DuckDB, from every window, for distinct ids."""
     return rf"""

@@ -200,3 +200,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     score = scored(train(docs, labels))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), score("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score below threshold, in their own columns."""
+    score = scored(train(docs, labels))
+    return docs.filter(score("text") < threshold)
