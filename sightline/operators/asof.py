@@ -1,0 +1,87 @@
+"""Joins on time: nearest within a tolerance, bracketing, clocks that drift."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _side(df: DataFrame, key: list[str], t: str, row: str, left: bool) -> DataFrame:
+    return df.select(*key, F.col(t).alias("t"), F.struct(F.col(t).alias("t"), F.col(row).alias("id")).alias("me"), F.lit(left).alias("left"))
+
+
+def bracket(left: DataFrame, right: DataFrame, key: list[str], t: str, row: str) -> DataFrame:
+    """For each left row the last right row at or before it and the first one at or after it, as structs prev and next.
+
+    One union, one sort: no pairs are made. Among right rows of one instant prev is that with the largest id and next that with the
+    smallest.
+    """
+    both = _side(left, key, t, row, True).unionByName(_side(right, key, t, row, False))
+    mine = F.when(~F.col("left"), F.col("me"))
+    order = Window.partitionBy(*key).orderBy("t", F.col("left"), "me.id")
+    back = Window.partitionBy(*key).orderBy(F.col("t").desc(), F.col("left"), F.col("me.id").desc())
+    before, after = order.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("prev", F.last(mine, ignorenulls=True).over(before)).withColumn("next", F.last(mine, ignorenulls=True).over(after))
+    return out.filter("left").select(*key, F.col("me.t").alias("t"), F.col("me.id").alias("id"), "prev", "next")
+
+
+def nearest(left: DataFrame, right: DataFrame, key: list[str], t: str, row: str, tolerance: int) -> DataFrame:
+    """The nearest right row of each left row within tolerance, the earlier one on ties: key, t, id, right_t, right_id, distance."""
+    b = bracket(left, right, key, t, row)
+    early = F.col("next").isNull() | (F.col("t") - F.col("prev.t") <= F.col("next.t") - F.col("t"))
+    hit = F.when(F.col("prev").isNotNull() & early, F.col("prev")).otherwise(F.col("next"))
+    b = b.withColumn("hit", hit).withColumn("distance", F.abs(F.col("hit.t") - F.col("t")))
+    return b.filter(F.col("distance") <= tolerance).select(*key, "t", "id", F.col("hit.t").alias("right_t"), F.col("hit.id").alias("right_id"), "distance")
+
+
+def one_to_one(matches: DataFrame, key: list[str]) -> DataFrame:
+    """Of the left rows that chose the same right row, the first in time: rows are used once, in order."""
+    w = Window.partitionBy(*key, "right_id").orderBy("t", "id")
+    return matches.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def first_per(df: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
+    return df.groupBy(*key).agg(F.min(value).alias(name))
+
+
+def interpolate(left: DataFrame, right: DataFrame, key: list[str], t: str, row: str, value: str, widest: int) -> DataFrame:
+    """Linear interpolation of value at each left time between the right rows around it.
+
+    valid: both exist and the nearer one is within widest. Otherwise value is null.
+    """
+    right = right.withColumn("_me", F.struct(F.col(row), F.col(value)))
+    b = bracket(left.withColumn("_me", F.struct(F.col(row), F.lit(None).cast(dict(right.dtypes)[value]).alias(value))), right, key, t, "_me")
+    gap = F.col("next.t") - F.col("prev.t")
+    share = F.when(gap > 0, (F.col("t") - F.col("prev.t")) / gap).otherwise(F.lit(0.0))
+    at = F.col("prev.id").getField(value) + share * (F.col("next.id").getField(value) - F.col("prev.id").getField(value))
+    near = F.least(F.col("t") - F.col("prev.t"), F.col("next.t") - F.col("t"))
+    valid = F.coalesce(near <= widest, F.lit(False)) & F.col("prev").isNotNull() & F.col("next").isNotNull()
+    return b.select(*key, "t", F.col("id").getField(row).alias("id"), valid.alias("valid"), F.when(valid, at).alias("value"))
+
+
+def both_kinds(df: DataFrame, key: list[str], kind: str, row: str, first: str, second: str, values: list[str]) -> DataFrame:
+    """Rows where both kinds are present at a key, the first row of each kind taken: one aggregation, no join."""
+    pick = lambda k, v: F.min_by(F.when(F.col(kind) == k, F.col(v)), F.when(F.col(kind) == k, F.col(row)))
+    out = df.filter(F.col(kind).isin(first, second)).groupBy(*key).agg(*(pick(k, v).alias(f"{k}_{v}") for k in (first, second) for v in values), F.count_distinct(kind).alias("_kinds"))
+    return out.filter("_kinds = 2").drop("_kinds")
+
+
+def clock_line(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
+    """Least-squares rate and offset of y against x: slope, intercept, n."""
+    return df.groupBy(*key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))
+
+
+def fit_clock(frames: DataFrame, rows: DataFrame, key: list[str], t: str, row: str, tolerance: int, rounds: int = 4) -> DataFrame:
+    """Offset and rate of one clock against another per key by refinement: match nearest, fit a line, match again on the fitted times.
+
+    A round is a join and an aggregate, so a key of any length is the work of many tasks; rounds are bounded.
+    Returns key, slope, intercept, matched.
+    """
+    line = frames.select(*key).distinct().withColumns({"slope": F.lit(1.0), "intercept": F.lit(0.0)})
+    for _ in range(rounds):
+        fitted = frames.join(line, key).withColumn("fitted", F.rint(F.col(t) * F.col("slope") + F.col("intercept")).cast("long"))
+        own = fitted.select(*key, F.col("fitted").alias(t), F.struct(F.col(row).alias("row"), F.col(t).alias("raw")).alias(row))
+        other = rows.select(*key, t, F.struct(F.col(row).alias("row"), F.col(t).alias("raw")).alias(row))
+        found = one_to_one(nearest(own, other, key, t, row, tolerance).withColumn("right_id", F.col("right_id.row")), key)
+        line = clock_line(found.select(*key, F.col("id.raw").cast("double").alias("x"), F.col("right_t").cast("double").alias("y")), key, "x", "y").withColumnRenamed("n", "matched")
+    return line.select(*key, "slope", "intercept", "matched")
