@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,9 +26,9 @@ class ChunkEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are the ids of its
-    space-separated chunks in turn. Chunks recur: those met are kept in a table of bounded size, and the
-    new ones of several texts are encoded in one call. Marks that end a chunk after a letter or digit are
-    encoded apart from it, as the tokenizer does.
+    space-separated chunks in turn. Chunks recur: those met are kept in a table of bounded size. Of a new one, the
+    marks that end it after a letter or digit are encoded apart, as the tokenizer does; a stem of Latin letters is one word
+    to the tokenizer and goes straight to its merges; any other goes through the whole tokenizer.
     """
 
     MARKS = ".,;:!?"
@@ -35,45 +36,51 @@ class ChunkEncoder:
     def __init__(self, path: str, keep: int = 800_000, longest: int = 64):
         from tokenizers import Tokenizer
 
-        self.encode, self.keep, self.longest, self.known = Tokenizer.from_file(path).encode, keep, longest, {"": b""}
-
-    def learn(self, chunks: set[str], extra: dict[str, bytes]) -> None:
-        """Ids of chunks into the table, or into extra if too long to keep."""
-        halves = {}
-        for c in chunks:
-            low = c.lower() if c.isascii() and "<|" not in c else c  # as the tokenizer does
-            stem = low.rstrip(self.MARKS)
-            halves[c] = (stem, low[len(stem) :]) if stem[-1:].isalnum() else (low, "")
-        new = [h for h in {h for pair in halves.values() for h in pair} if h not in self.known]
-        plain, ids = [h for h in new if "<|" not in h], {}
-        if plain:
-            found = self.encode(plain, is_pretokenized=True, add_special_tokens=False)
-            flat = np.array(found.ids, dtype="<u4").tobytes()
-            ends = 4 * np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(plain)).cumsum()
-            a = 0
-            for h, b in zip(plain, ends.tolist(), strict=True):
-                ids[h], a = flat[a:b], b
-        for h in new:
-            if "<|" in h:  # names of special tokens are looked for in the raw text
-                ids[h] = np.array(self.encode(h, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        for h, x in ids.items():
-            (self.known if len(h) <= self.longest else extra)[h] = x
-        for c, (stem, tail) in halves.items():
-            if stem != c:
-                both = (self.known.get(stem) or extra.get(stem, b"")) + (self.known.get(tail) or extra.get(tail, b""))
-                (self.known if len(c) <= self.longest else extra)[c] = both
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self.all = Tokenizer.from_file(path)
+        self.merge, self.keep, self.longest, self.known = self.all.model.tokenize, keep, longest, {"": b""}
+        # the byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.bytes = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+    def fresh(self, stem: str) -> bytes:
+        if stem.isalpha() and max(stem) < "\u0180" and stem == stem.lower():
+            word = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.bytes)
+            ids = [t.id for t in self.merge(word)]
+        else:
+            ids = self.all.encode(stem, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, chunk: str) -> bytes:
+        """The ids of a chunk that isn't in the table; long ones are not kept."""
+        known, keep = self.known, len(chunk) <= self.longest
+        low = chunk.lower() if "<|" not in chunk and (chunk.isascii() or max(chunk) < "\u0130") else chunk
+        stem = low.rstrip(self.MARKS)
+        if len(stem) == len(low) or not stem[-1:].lower()[-1:].isalnum():
+            stem, tail = low, ""
+        else:
+            tail = low[len(stem) :]
+        if (ids := known.get(stem)) is None:
+            ids = self.fresh(stem)
+            if keep:
+                known[stem] = ids
+        if tail:
+            if (end := known.get(tail)) is None:
+                end = known[tail] = self.fresh(tail)
+            ids += end
+        if keep:
+            known[chunk] = ids
+        return ids
+
+    def __call__(self, text: str) -> bytes:
         if len(self.known) > self.keep:
             self.known = {"": b""}
-        extra: dict[str, bytes] = {}
-        if new := set().union(*split).difference(self.known):
-            self.learn(new, extra)
-        known = self.known
-        if extra:
-            return [b"".join([known[c] if c in known else extra[c] for c in chunks]) for chunks in split]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        known, learn = self.known, self.learn
+        chunks = text.replace("\n", " ").split(" ")
+        out = list(map(known.get, chunks))
+        if None in out:
+            out = [learn(c) if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
+        return b"".join(out)
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -86,19 +93,6 @@ def encoder(path: str) -> ChunkEncoder:
     return kept[path]
 
 
-def in_groups(column, chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
-    """(first place, texts) of successive texts of a column, about so many characters at a time; null is empty."""
-    group, first, size = [], 0, 0
-    for i, text in enumerate(column):
-        group.append(text.as_py() or "")
-        size += len(group[-1])
-        if size >= chars:
-            yield first, group
-            group, first, size = [], i + 1, 0
-    if group:
-        yield first, group
-
-
 def tokenized(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row for each piece of at most capacity tokens; each document ends with end_id. with_ids adds the ids themselves."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
@@ -107,13 +101,11 @@ def tokenized(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_i
         encode, wide = encoder(path), 4 * capacity
         for batch in batches:
             out: list[tuple] = []
-            names = batch.column(0).to_pylist()
-            for first, texts in in_groups(batch.column(1)):
-                for i, ids in enumerate(encode(texts), first):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), wide)):
-                        part = ids[a : a + wide]
-                        out.append((names[i], k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encode(text.as_py() or "") + end
+                for k, a in enumerate(range(0, len(ids), wide)):
+                    part = ids[a : a + wide]
+                    out.append((ident, k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
             n = 6 if with_ids else 5
