@@ -132,6 +132,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     texts = written(joined_small(one, marked, ["key", "first"], most_rows=200_000).select("key", "text", "anchors"), "repeat-texts")
     spread = texts.mapInArrow(_extend(window, seed), "key long, start int, anchor long, whole long")
     twice = spread.groupBy("anchor", "whole").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("start").alias("c"), F.max("start").alias("d")).filter("a <> b OR c <> d").select("anchor", "whole")
+    twice = written(twice, "repeat-twice")  # a table on this side lets Spark split a skewed class on the other
     starts = spread.join(twice, ["anchor", "whole"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
     return rows, texts.select("key", "text"), starts
 
