@@ -34,13 +34,16 @@ class Plan:
         self.depth = max(4, math.ceil(math.log(max(n, 2) / block) / math.log(1 / apart)))
         a = self._unit(rng.standard_normal((20_000, dim)))
         b = rng.standard_normal((20_000, dim))
-        b = self._unit(b - (a * b).sum(1, keepdims=True) * a)
-        b = least * a + math.sqrt(1 - least * least) * b
+        if dim > 1:
+            b = self._unit(b - (a * b).sum(1, keepdims=True) * a)
+            b = least * a + math.sqrt(1 - least * least) * b
+        else:  # on a line, vectors have the same direction or the opposite one
+            b = a
         self.count = self._unit(rng.standard_normal((COUNTED, dim)))
         met = (np.abs(a @ self.count.T - b @ self.count.T) <= self.window).sum(1)
         self.least_met = int(np.quantile(met, 0.002))
         orders, missed = [], np.ones(len(a), dtype=bool)
-        while missed.mean() > 1 - recall or not orders:
+        while (missed.mean() > 1 - recall and len(orders) < 256) or not orders:
             direction, shift = self._unit(rng.standard_normal((self.depth, dim))), rng.uniform(0, self.width, self.depth)
             orders.append((direction, shift))
             missed &= (np.floor((a @ direction.T + shift) / self.width) != np.floor((b @ direction.T + shift) / self.width)).any(1)
