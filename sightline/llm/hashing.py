@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 MULTIPLIER = 0x9E3779B97F4A7C15  # fixed value: an odd 64-bit constant
 U = np.uint64
-FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def split_words(text: str | None) -> list[str]:
@@ -69,3 +71,71 @@ def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def _table(fold: bool) -> np.ndarray:
+    """A random-looking 64-bit value for every byte; with fold, A-Z have the values of a-z."""
+    with np.errstate(over="ignore"):
+        out = mixed(np.arange(1, 257, dtype=np.uint64) * U(MULTIPLIER))
+    if fold:
+        out[65:91] = out[97:123]
+    return out
+
+
+IS_SPACE = np.zeros(256, dtype=bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class TextHasher:
+    """Hashes of all words of many texts at once, straight from a column's bytes.
+
+    A word's hash is a polynomial over its UTF-8 bytes, mixed at the end. Texts are taken in groups of about
+    group bytes, so memory doesn't follow the batch.
+    """
+
+    def __init__(self, fold: bool = False, group: int = 1 << 20):
+        self.values, self.group, self.powers = _table(fold), group, np.ones(1, dtype=np.uint64)
+
+    def _power(self, most: int) -> np.ndarray:
+        if len(self.powers) <= most:
+            with np.errstate(over="ignore"):
+                self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(64, 2 * most), MULTIPLIER, dtype=np.uint64)]))
+        return self.powers
+
+    def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the words of successive texts, how many each text has); ends: where each text ends in data."""
+        inside = ~IS_SPACE[data]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        bounds = np.concatenate([[0], ends[:-1]])
+        bounds = bounds[bounds < len(data)]
+        first[bounds] = inside[bounds]
+        starts = np.flatnonzero(first)
+        n = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
+        if not len(starts):
+            return np.empty(0, dtype=np.uint64), n
+        at = np.flatnonzero(inside)
+        number = np.cumsum(first)[at] - 1
+        place = at - starts[number]
+        with np.errstate(over="ignore"):
+            parts = self.values[data[at]] * self._power(int(place.max()))[place]
+            return mixed(np.add.reduceat(parts, np.flatnonzero(first[at]))), n
+
+    def __call__(self, column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the first text, word hashes, words per text) of groups of texts; a null text has no words."""
+        column = column.cast(pa.large_binary()) if column.null_count == 0 else column.fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = column.buffers()[2]
+        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.empty(0, dtype=np.uint8)
+        a = 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + self.group, "right")) - 1)
+            b = min(b, len(column))
+            yield a, *self.words(data[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a])
+            a = b
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
