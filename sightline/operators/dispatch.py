@@ -67,7 +67,7 @@ def balanced_shares(df: DataFrame, group: str, name: str, size: str, shares: int
     """longest_first() within each group; a group is one task's work."""
     import pandas as pd
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         done = longest_first(list(zip(rows[name], rows[size].astype(int), strict=True)), shares)
         return pd.DataFrame([(key[0], *x) for x in done], columns=[group, name, size, "share"])
 
