@@ -157,3 +157,34 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     timed = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     batch = intervals.gap_runs(timed, ["user_id"], "us", day - 1, 1).filter("hits >= 2")
     assert sorted((r.user_id, r.hits) for r in got.collect()) == sorted((r.user_id, r.hits) for r in batch.collect())
+
+
+def test_split_points(spark):
+    from sightline.functions import measures
+
+    def plain(keys, start, end, most):
+        cuts = [start]
+        inside = [k for k in keys if start < k < end]
+        while end - cuts[-1] > most:
+            ahead = [k for k in inside if k > cuts[-1]]
+            if not ahead:
+                break
+            near = [k for k in ahead if k - cuts[-1] <= most]
+            cuts.append(near[-1] if near else ahead[0])
+        return cuts
+
+    rng = random.Random(8)
+    data = [(k, sorted(rng.sample(range(200), rng.randint(0, 25))), rng.randint(0, 20), rng.randint(150, 220), rng.randint(5, 60)) for k in range(80)]
+    df = spark.createDataFrame(data, "k long, keys array<long>, a long, z long, m long")
+    found = {r.k: r.cuts for r in df.select("k", measures.split_points(F.col("keys"), F.col("a"), F.col("z"), F.col("m")).alias("cuts")).collect()}
+    assert found == {k: plain(keys, a, z, m) for k, keys, a, z, m in data}
+
+
+def test_polygons():
+    from sightline.functions import polygons
+
+    square = np.array([[0, 0], [4, 0], [4, 4], [0, 4]], dtype=float)
+    tilted = np.array([[2, -2], [6, 2], [2, 6], [-2, 2]], dtype=float)
+    assert polygons.covered_share(square, square + 2) == 0.25 and polygons.covered_share(square, square + 9) == 0
+    assert polygons.covered_share(square, tilted) == 1.0 and abs(polygons.covered_share(tilted, square) - 0.5) < 1e-12
+    assert polygons.covered_share(square[:2], square) == 0
