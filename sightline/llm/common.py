@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released() -> None:
+    """Gives a Python worker's unused memory back, so that idle workers of earlier stages stay small."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """df.mapInArrow() in batches that long texts can't make large, with the worker's memory given back after each task."""
+    small_batches(df.sparkSession)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Lowers the session's limits on what goes to Python at once, where they are higher."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        if not str(now).isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table that written() made, once nothing reads it any more."""
     spark = df.sparkSession
@@ -52,9 +88,13 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def joined_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most_rows: int = 1_000_000) -> DataFrame:
-    """big join small: sent to every task if its rows, counted first, are few; shuffled otherwise."""
-    return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
+def joined_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = 1_000_000, weight: Column | None = None) -> DataFrame:
+    """big join small: sent to every task if its rows, counted first, are at most most; shuffled otherwise.
+
+    With weight, which tells the entries of a row's array, their sum is what must not exceed most.
+    """
+    held = small.agg(F.count("*") if weight is None else F.coalesce(F.sum(weight) + F.count("*"), F.lit(0))).first()[0]
+    return big.join(F.broadcast(small) if held <= most else small, on, how)
 
 
 def folded(text: Column | str) -> Column:

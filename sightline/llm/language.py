@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, released, small_batches, written
 from .toxicity import held_out
 
 BITS = 15  # n-grams are hashed to 2^15 features
@@ -119,7 +119,7 @@ def train(docs: DataFrame, most_rows: int = 4_000) -> Model:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & ~held_out())
     share = int((1 << 30) * min(1.0, most_rows / max(1, known.select("doc_id").count())))
     known = known.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(12)), F.lit(1 << 30)) <= share).filter(letter)
-    sample = written(known.select("text", "lang").mapInArrow(_featurise, "lang string, features binary, counts binary"), "language-sample")
+    sample = written(mapped(known.select("text", "lang"), _featurise, "lang string, features binary, counts binary"), "language-sample")
     seen = sorted((r["lang"], bytes(r["features"]), bytes(r["counts"])) for r in sample.collect())
     languages = tuple(sorted({r[0] for r in seen}))
     size = 1 << BITS
@@ -146,11 +146,16 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     text if no language could be learned; repeated rows get the same answer each; null ids count as not held out; an empty table gives no
     rows; other columns are ignored. Nothing is shuffled; the model (a few megabytes, whatever the corpus) is broadcast.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    small_batches(docs.sparkSession)
+    learned = train(docs)
+    # a broadcast carries plain arrays; the class travels with the function
+    parts = docs.sparkSession.sparkContext.broadcast((learned.languages, learned.idf, learned.weights, learned.bias, learned.temperature))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = Model(*parts.value)
         for texts in batches:
-            yield pd.DataFrame([model.value.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"score": "float64"})
+            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"score": "float64"})
+        released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import parts, written
+from .common import mapped, parts, written
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,7 +33,7 @@ class ChunkEncoder:
 
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str, keep: int = 800_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 500_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.all = Tokenizer.from_file(path)
@@ -83,22 +83,12 @@ class ChunkEncoder:
         return b"".join(out)
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """The encoder of this worker process, so that later tasks find the chunks that earlier ones met."""
-    import tokenizers
-
-    kept = vars(tokenizers).setdefault("_sightline_encoders", {})
-    if path not in kept:
-        kept[path] = ChunkEncoder(path)
-    return kept[path]
-
-
 def tokenized(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row for each piece of at most capacity tokens; each document ends with end_id. with_ids adds the ids themselves."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, wide = encoder(path), 4 * capacity
+        encode, wide = ChunkEncoder(path), 4 * capacity
         for batch in batches:
             out: list[tuple] = []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -111,7 +101,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_i
             n = 6 if with_ids else 5
             yield pa.RecordBatch.from_arrays(arrays[:n], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:n])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE + (", ids binary" if with_ids else ""))
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECE + (", ids binary" if with_ids else ""))
 
 
 class CapacityTree:

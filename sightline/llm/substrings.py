@@ -6,14 +6,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, joined_small, written
-from .hashing import WordHasher, run_hashes, signed, split_words
+from .common import WORD, dropped, joined_small, mapped, written
+from .hashing import TextHasher, run_hashes, signed, split_words
 
 WINDOW = 35  # words of a repeat
 SEED = 20  # words of an anchor
@@ -39,19 +38,21 @@ def _scan(window: int, seed: int):
     """Per document a row with its word count and digest, and a row for each distinct anchor (again: it recurs in the document)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = TextHasher()
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows, found, again, owner = [], [], [], []
-            for i, text in enumerate(batch.column(2)):
-                words = split_words(text.as_py())
-                runs, at = anchors_of(hasher(words), window, seed)
-                rows.append((len(words), digest(words)))
-                if len(at):
-                    hit, n = np.unique(runs[np.unique(at)], return_counts=True)
-                    found.append(signed(hit))
-                    again.append(n > 1)
-                    owner.append(np.full(len(hit), keys[i], dtype=np.int64))
+            for first, hashes, n in hasher(batch.column(2)):
+                ends = np.concatenate([[0], n.cumsum()]).tolist()
+                for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False), first):
+                    words = (batch.column(2)[i].as_py() or "").encode("utf-8", "surrogatepass").split()  # at the same six characters
+                    rows.append((b - a, hashlib.sha256(b" ".join(words)).hexdigest()))
+                    runs, at = anchors_of(hashes[a:b], window, seed)
+                    if len(at):
+                        hit, many = np.unique(runs[np.unique(at)], return_counts=True)
+                        found.append(signed(hit))
+                        again.append(many > 1)
+                        owner.append(np.full(len(hit), keys[i], dtype=np.int64))
             n, m = len(rows), sum(map(len, found))
             none = lambda k, t: pa.nulls(k, t)
             yield pa.RecordBatch.from_arrays(
@@ -73,15 +74,17 @@ def _extend(window: int, seed: int):
     """Extends each repeated anchor both ways: a row for every window that it is the anchor of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = TextHasher()
         for batch in batches:
-            for i in range(batch.num_rows):
-                hashes = hasher(split_words(batch.column("text")[i].as_py()))
-                runs, at = anchors_of(hashes, window, seed)
-                seeds = np.asarray(batch.column("anchors")[i].values, dtype=np.int64)
-                start = np.flatnonzero(np.isin(signed(runs)[at], seeds))
-                whole = signed(run_hashes(hashes, window))[start]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), batch.column("key")[i].as_py(), dtype=np.int64)), pa.array(start.astype(np.int32)), pa.array(signed(runs)[at][start]), pa.array(whole)], ["key", "start", "anchor", "whole"])
+            for first, hashes, n in hasher(batch.column("text")):
+                ends = np.concatenate([[0], n.cumsum()]).tolist()
+                for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False), first):
+                    runs, at = anchors_of(hashes[a:b], window, seed)
+                    seeds = np.asarray(batch.column("anchors")[i].values, dtype=np.int64)
+                    start = np.flatnonzero(np.isin(signed(runs)[at], seeds))
+                    whole = signed(run_hashes(hashes[a:b], window))[start]
+                    key = np.full(len(start), batch.column("key")[i].as_py(), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start.astype(np.int32)), pa.array(signed(runs)[at][start]), pa.array(whole)], ["key", "start", "anchor", "whole"])
 
     return run
 
@@ -119,7 +122,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    scanned = written(keyed.mapInArrow(_scan(window, seed), "doc_id long, key long, n_words long, digest string, anchor long, again boolean"), "repeat-scan")
+    scanned = written(mapped(keyed, _scan(window, seed), "doc_id long, key long, n_words long, digest string, anchor long, again boolean"), "repeat-scan")
     rows = written(scanned.filter("anchor IS NULL").select("doc_id", "key", "n_words", "digest"), "repeat-rows")
     anchors = scanned.filter("anchor IS NOT NULL").select("anchor", "key", "again")
     shared = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("again").alias("again")).filter("a <> b OR again").select("anchor")
@@ -129,8 +132,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     first = rows.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"))
     marked = seeds.join(first, "key").select("key", "first", "anchors")
     one = keyed.withColumn("first", F.coalesce("doc_id", F.lit(-(2**63)))).select("key", "first", "text")
-    texts = written(joined_small(one, marked, ["key", "first"], most_rows=200_000).select("key", "text", "anchors"), "repeat-texts")
-    spread = texts.mapInArrow(_extend(window, seed), "key long, start int, anchor long, whole long")
+    texts = written(joined_small(one, marked, ["key", "first"], most=4_000_000, weight=F.size("anchors")).select("key", "text", "anchors"), "repeat-texts")
+    spread = mapped(texts, _extend(window, seed), "key long, start int, anchor long, whole long")
     twice = spread.groupBy("anchor", "whole").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("start").alias("c"), F.max("start").alias("d")).filter("a <> b OR c <> d").select("anchor", "whole")
     twice = written(twice, "repeat-twice")  # a table on this side lets Spark split a skewed class on the other
     starts = spread.join(twice, ["anchor", "whole"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
@@ -150,7 +153,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with
     ignored. Texts are read twice; only those with a shared seed are written in between.
     """
     rows, texts, starts = repeated_windows(docs, window, seed)
-    cut = texts.join(starts, "key").mapInArrow(_cut(window), "key long, gone long, left_digest string, spans array<int>").dropDuplicates(["key"])
+    cut = mapped(texts.join(starts, "key"), _cut(window), "key long, gone long, left_digest string, spans array<int>").dropDuplicates(["key"])
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
     parts = written(copies.join(cut, "key", "left").filter("copies > 1 OR gone IS NOT NULL"), "repeat-cut")
     every = (F.col("copies") > 1) & (F.col("n_words") >= window)
@@ -171,20 +174,13 @@ def documents_without_repeats(docs: DataFrame, window: int = WINDOW, seed: int =
     found = remove_repeats(docs, window, seed, with_spans=True).filter("n_removed > 0")
     spans = written(found.groupBy("key").agg(F.first("spans").alias("spans"), F.first(F.col("n_removed") == F.col("n_words")).alias("all_gone")), "repeat-spans")
 
-    @F.pandas_udf("string")
-    def kept(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-        def one(text, cut):
-            if cut is None:
-                return text
-            words, at = split_words(text), [0, *cut, None]
-            return " ".join(w for a, b in zip(at[::2], at[1::2], strict=True) for w in words[a:b])
-
-        return pd.Series([one(t, c) for t, c in zip(texts, cuts, strict=True)], dtype=object)
-
     columns = docs.columns
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
-    cut = joined_small(own, spans, "key", "left", most_rows=200_000).filter("all_gone IS NULL OR NOT all_gone")
-    cut = cut.withColumn("text", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(kept(F.col("row.text"), F.col("spans"))))
+    cut = joined_small(own, spans, "key", "left", most=4_000_000, weight=F.size("spans")).filter("all_gone IS NULL OR NOT all_gone")
+    # a word is kept if an even number of span ends lies at or before its place
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
+    kept = F.array_join(F.filter(words, lambda w, i: F.size(F.filter("spans", lambda a: a <= i)) % 2 == 0), " ")
+    cut = cut.withColumn("text", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(kept))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("spans").isNull(), F.col("row").getField("n_chars") if "n_chars" in columns else F.lit(0)).otherwise(F.length("text")).cast("long")}
     return cut.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns))
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, released, small_batches, written
 
 #: Cyrillic and Greek letters that look like Latin ones, and those.
 LOOKALIKES = "авеорсухіјѕкмнтαεικνορτυχ", "abeopcyxijskmhtaeiknoptux"
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_term
     the logarithm of how much likelier it is in toxic than in other texts. It needs least_texts toxic texts, near copies counted
     once. Two coefficients and a bias then turn matched weight into a score. Without rows of both labels: STARTING.
     """
+    small_batches(docs.sparkSession)
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = int((1 << 30) * min(1.0, most_rows / max(1, ids.count())))
@@ -140,9 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_term
     if not many.get(1) or not many.get(0):
         return Model({f" {w}": x for w, x in STARTING.items()})
     texts = lambda toxic: sample.filter(F.col("toxic") == toxic).select("text")
-    toxic = texts(1).mapInArrow(_toxic_terms, "term string, like long").groupBy("term").agg(F.count_distinct("like").alias("n")).filter(F.col("n") >= least_texts)
+    toxic = mapped(texts(1), _toxic_terms, "term string, like long").groupBy("term").agg(F.count_distinct("like").alias("n")).filter(F.col("n") >= least_texts)
     toxic = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(most_terms).collect()}
-    clean = texts(0).mapInArrow(_clean_counts(frozenset(toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    clean = mapped(texts(0), _clean_counts(frozenset(toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     clean = {r["term"]: r["n"] for r in clean.collect()}
     weigh = lambda t: math.log((toxic[t] + 0.5) / (many[1] + 1)) - math.log((clean.get(t, 0) + 0.5) / (many[0] + 1))
     lexicon: dict[str, float] = {}
@@ -187,6 +188,7 @@ def scored(model: Model):
         for texts in batches:
             found = np.array([model.measure(matcher, t) for t in texts], dtype=float).reshape(-1, 2)
             yield pd.Series(model.score(found[:, 0], found[:, 1]))
+        released()
 
     return run
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_small, written
+from .common import joined_small, mapped, written
 from .components import connected_components
 
 LEAST_ID = -(2**63)
@@ -208,7 +208,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.97,
     found = spark.createDataFrame([], "id long, links long, root long")
     for dim, n in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         plan = Plan(dim, n, least, recall)
-        cells = classes.filter(F.col("dim") == dim).select("id", "many", "embedding").mapInArrow(_to_cells(plan, dim), "id long, many long, embedding array<double>, turn int, cell long, cells array<int>")
+        cells = mapped(classes.filter(F.col("dim") == dim).select("id", "many", "embedding"), _to_cells(plan, dim), "id long, many long, embedding array<double>, turn int, cell long, cells array<int>")
         large = cells.groupBy("turn", "cell").count().filter(F.col("count") > block).select("turn", "cell", F.ceil(F.col("count") / block).cast("int").alias("split"))
         cells = joined_small(cells, written(large, "vector-blocks"), ["turn", "cell"], "left")
         split = F.coalesce("split", F.lit(1))
@@ -217,7 +217,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.97,
         cells = cells.select("id", "many", "embedding", "turn", "cells", "side", F.xxhash64(square).alias("group"), (F.least("side", "other") == F.greatest("side", "other")).cast("int").alias("square"))
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(plan.orders) // 100_000))
         dealt = cells.repartition(parts, "group").sortWithinPartitions("group")
-        found = found.union(dealt.mapInArrow(_count_and_verify(plan, dim, least), "id long, links long, root long"))
+        found = found.union(mapped(dealt, _count_and_verify(plan, dim, least), "id long, links long, root long"))
     found = written(found, "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     sets = connected_components(found.filter("id <> root"), "id", "root").select(F.col("node").alias("id"), "component")
