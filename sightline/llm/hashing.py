@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 MULTIPLIER = 0x9E3779B97F4A7C15  # fixed value: an odd 64-bit constant
 U = np.uint64
@@ -29,26 +28,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-class WordHasher:
-    """64-bit hashes of words; those met are kept in a table of bounded size."""
-
-    def __init__(self, keep: int = 300_000):
-        self.known: dict[str, int] = {}
-        self.keep = keep
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
-
-
 def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n successive words, by doubling."""
     if len(hashes) < n:
