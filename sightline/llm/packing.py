@@ -33,7 +33,7 @@ class ChunkEncoder:
 
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str, keep: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.all = Tokenizer.from_file(path)
