@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+NUMBERS = 1 << 16  # of the vectors in one block
+
 
 def cosine(a: str, b: str) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(F.col(x), F.col(y), lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -46,11 +50,57 @@ def calibration(scored: DataFrame, published: float) -> DataFrame:
     return one.join(passed)
 
 
-def best_elsewhere(df: DataFrame, row: str, identity: str, vector: str, cap: int = 40) -> DataFrame:
-    """Each row's best cosine with another of its identity's sampled rows; -1 if there is none."""
-    few = evenly(df, identity, row, cap)
-    a, b = df.select(F.col(row), F.col(identity), F.col(vector).alias("_va")), few.select(F.col(row).alias("_other"), F.col(identity), F.col(vector).alias("_vb"))
-    best = a.join(b, identity, "left").withColumn("_s", F.when(F.col(row) != F.col("_other"), cosine("_va", "_vb")))
+def squares(df: DataFrame, key: list[str], row: str, vector: str, numbers: int = NUMBERS) -> DataFrame:
+    """Rows once for each square (_low, _high) of their key's grid of blocks, so that every two rows of a key meet in exactly one square.
+
+    A key's rows are dealt into blocks of about numbers values by a hash; _side is a row's block, _v its vector as double, _d its length.
+    Rows with a null in key, row or vector have no partner and are left out, and only vectors of one length meet.
+    """
+    known = F.forall("_v", lambda x: x.isNotNull())
+    for c in (*key, row):
+        known = known & F.col(c).isNotNull()
+    rows = df.withColumn("_v", F.col(vector).cast("array<double>")).filter(known).withColumn("_d", F.size("_v"))
+    # there are at most as many large keys as there are full blocks
+    large = rows.groupBy(*key, "_d").agg(F.ceil(F.count("*") * F.col("_d") / numbers).cast("int").alias("_split")).filter("_split > 1")
+    rows = rows.join(F.broadcast(large), [*key, "_d"], "left").withColumn("_split", F.coalesce("_split", F.lit(1)))
+    rows = rows.withColumn("_side", F.pmod(F.xxhash64(row), "_split").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_split") - 1)))
+    return rows.withColumns({"_low": F.least("_side", "_other"), "_high": F.greatest("_side", "_other")})
+
+
+def products(table: pa.Table, most: int = 1 << 20):
+    """Places and cosines of the two sides of a square, some rows of the lower side at a time; NaN for a vector of length 0."""
+    side = table.column("_side").to_numpy()
+    values = table.column("_v").combine_chunks()
+    v = values.flatten().to_numpy(zero_copy_only=False).reshape(len(side), -1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    low, high = (np.flatnonzero(side == table.column(c)[0].as_py()) for c in ("_low", "_high"))
+    step = max(1, most // max(1, len(high)))
+    for k in range(0, len(low), step):
+        yield low[k : k + step], high, v[low[k : k + step]] @ v[high].T
+
+
+def best_elsewhere(df: DataFrame, row: str, identity: str, vector: str, numbers: int = NUMBERS) -> DataFrame:
+    """Each row's best cosine with any other row of its identity; -1 if there is none.
+
+    All pairs of an identity are compared, in squares of bounded size, each one matrix product; what is shuffled back is a partial maximum for each row and square.
+    """
+
+    def square(table: pa.Table) -> pa.Table:
+        ids = table.column(row).to_numpy()
+        best = np.full(len(ids), -np.inf)
+        for a, b, score in products(table):
+            if not len(b):
+                continue
+            score[(ids[a][:, None] == ids[b][None, :]) | np.isnan(score)] = -np.inf
+            best[a] = np.maximum(best[a], score.max(axis=1))
+            best[b] = np.maximum(best[b], score.max(axis=0))
+        return table.select([row, identity]).append_column("_s", pa.array(best, pa.float64(), mask=np.isinf(best)))
+
+    kinds = dict(df.dtypes)
+    part = squares(df.select(row, identity, vector), [identity], row, vector, numbers).select(row, identity, "_v", "_d", "_side", "_low", "_high")
+    part = part.groupBy(identity, "_d", "_low", "_high").applyInArrow(square, f"`{row}` {kinds[row]}, `{identity}` {kinds[identity]}, _s double")
+    best = df.select(row, identity, F.lit(None).cast("double").alias("_s")).unionByName(part)
     return best.groupBy(row, identity).agg(F.coalesce(F.max("_s"), F.lit(-1.0)).alias("best"))
 
 

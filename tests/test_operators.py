@@ -107,6 +107,33 @@ def test_evenly(spark):
     assert [r[0] for r in rows(identity.evenly(df, "g", "id", 40))] == sorted({int(k * 103 / 40) for k in range(40)})
 
 
+def vectors(n, labels, seed):
+    rng = np.random.default_rng(seed)
+    return [(k, int(rng.integers(labels)), rng.normal(size=8).tolist()) for k in range(n)]
+
+
+def cosines(items):
+    v = np.array([x[2] for x in items])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return v @ v.T
+
+
+def test_best_elsewhere_compares_all(spark):
+    """A near twin counts wherever it stands among more than 40 rows, in one block or in a grid of them."""
+    items = vectors(200, 2, 5)
+    items[101] = (101, items[100][1], [x + 1e-4 for x in items[100][2]])
+    c, label = cosines(items), np.array([x[1] for x in items])
+    c[(label[:, None] != label[None, :]) | np.eye(len(items), dtype=bool)] = -1
+    extra = [(900, 77, [1.0] * 8), (901, None, [1.0] * 8), (902, 0, None), (903, 0, [0.0] * 8), (904, 0, [1.0, None])]
+    df = spark.createDataFrame(items + extra, "id long, label int, v array<float>")
+    for grid in ({}, {"numbers": 160}):
+        found = {r["id"]: r["best"] for r in identity.best_elsewhere(df, "id", "label", "v", **grid).collect()}
+        assert len(found) == 205 and all(found[k] == -1 for k in range(900, 905))
+        assert np.allclose([found[k] for k in range(200)], c.max(axis=1), atol=1e-6)
+        assert found[100] > 0.999 and found[101] > 0.999
+    assert rows(identity.best_elsewhere(df.limit(0), "id", "label", "v")) == []
+
+
 def test_audit_chain(spark):
     import hashlib
 
