@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NUMBERS = 1 << 16  # of the vectors in one block
+BINS = 1 << 15  # of scores, to a unit
 
 
 def cosine(a: str, b: str) -> Column:
@@ -25,29 +28,67 @@ def evenly(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.filter((F.col("_s") <= n) | ((k < n) & (F.floor(k * F.col("_s") / n) == F.col("_p")))).drop("_p", "_s")
 
 
-def pairs(df: DataFrame, row: str, identity: str, vector: str, bucket: Column, cap: int = 40) -> DataFrame:
-    """Genuine pairs (one identity) and impostor pairs (different identities, one bucket) of a capped sample of each identity.
+def pairs(df: DataFrame, row: str, identity: str, vector: str, bucket: Column, cap: int = 40, numbers: int = NUMBERS) -> DataFrame:
+    """Genuine pairs (one identity) of a capped sample of each identity, and all impostor pairs (different identities, one bucket).
 
-    Both are equi-joins: on the identity, where the cap bounds each side, and on (bucket, sampled), never a cross join.
+    Genuine pairs are an equi-join on the identity, where the cap bounds each side. Impostor pairs come from all rows of a bucket, in squares of
+    bounded size, each one matrix product; rows without a whole vector form none.
     """
-    few = evenly(df, identity, row, cap).withColumn("_bucket", bucket)
-    a, b = (few.select(F.col(row).alias(x), F.col(identity).alias(f"_i{x}"), F.col(vector).alias(f"_v{x}"), F.col("_bucket").alias(f"_b{x}")) for x in "ab")
-    score = cosine("_va", "_vb").alias("score")
-    genuine = a.join(b, (F.col("_ia") == F.col("_ib")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit("genuine").alias("kind"), score)
-    impostor = a.join(b, (F.col("_ba") == F.col("_bb")) & (F.col("_ia") != F.col("_ib")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit("impostor").alias("kind"), score)
+    few = evenly(df, identity, row, cap)
+    a, b = (few.select(F.col(row).alias(x), F.col(identity).alias(f"_i{x}"), F.col(vector).alias(f"_v{x}")) for x in "ab")
+    genuine = a.join(b, (F.col("_ia") == F.col("_ib")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit("genuine").alias("kind"), cosine("_va", "_vb").alias("score"))
+
+    def square(table: pa.Table) -> pa.Table:
+        ids, who, at = table.column(row).to_numpy(), table.column(identity).to_numpy(), table.schema.field(row).type
+        once = table.column("_low")[0] == table.column("_high")[0]
+        parts = [pa.table({"a": pa.array([], at), "b": pa.array([], at), "score": pa.array([], pa.float64())})]
+        for x, y, score in products(table):
+            i, j = ids[x][:, None], ids[y][None, :]
+            k, m = np.nonzero((who[x][:, None] != who[y][None, :]) & (i < j if once else i != j))
+            i, j, turned = ids[x][k], ids[y][m], ids[x][k] > ids[y][m]
+            parts.append(pa.table({"a": pa.array(np.where(turned, j, i), at), "b": pa.array(np.where(turned, i, j), at), "score": pa.array(score[k, m], pa.float64(), from_pandas=True)}))
+        return pa.concat_tables(parts)
+
+    kind = dict(df.dtypes)[row]
+    rows = df.filter(F.col(identity).isNotNull()).select(row, identity, vector, bucket.alias("_bucket"))
+    rows = squares(rows, ["_bucket"], row, vector, numbers).select("_bucket", row, identity, "_v", "_d", "_side", "_low", "_high")
+    impostor = rows.groupBy("_bucket", "_d", "_low", "_high").applyInArrow(square, f"a {kind}, b {kind}, score double").select("a", "b", F.lit("impostor").alias("kind"), "score")
     return genuine.unionByName(impostor)
 
 
+def exact_quantiles(scores: DataFrame, counts: dict[int, int], probabilities: list[float]) -> list[float | None]:
+    """Interpolated quantiles of column score, whose values are counted by floor(score * BINS): only the bins that hold the ranks are sorted."""
+    bins = sorted(counts)
+    ends, n = np.cumsum([counts[k] for k in bins]), sum(counts.values())
+    if not n:
+        return [None] * len(probabilities)
+    places = [p * (n - 1) for p in probabilities]
+    ranks = sorted({r for x in places for r in (math.floor(x), math.ceil(x))})
+    held = [int(np.searchsorted(ends, r, side="right")) for r in ranks]
+    wanted = [(bins[h], int(r - ends[h] + counts[bins[h]])) for r, h in zip(ranks, held, strict=True)]
+    inside = scores.withColumn("_bin", F.floor(F.col("score") * BINS)).filter(F.col("_bin").isin(sorted({k for k, _ in wanted}))).groupBy("_bin", "score").agg(F.count("*").alias("_n"))
+    inside = inside.withColumn("_end", F.sum("_n").over(Window.partitionBy("_bin").orderBy("score")))
+    hit = [(F.col("_bin") == k) & (F.col("_end") > r) & (F.col("_end") - F.col("_n") <= r) for k, r in wanted]
+    found = inside.agg(*(F.max(F.when(h, F.col("score"))) for h in hit)).first()
+    at = dict(zip(ranks, found, strict=True))
+    return [at[lo] if lo == hi else (hi - x) * at[lo] + (x - lo) * at[hi] for x in places for lo, hi in [(math.floor(x), math.ceil(x))]]
+
+
 def calibration(scored: DataFrame, published: float) -> DataFrame:
-    """Impostor quantiles, the share of them over a published threshold, genuine quantiles, and how many genuine pairs pass p99."""
-    imp, gen = F.when(F.col("kind") == "impostor", F.col("score")), F.when(F.col("kind") == "genuine", F.col("score"))
-    q = lambda v, p: F.percentile(v, F.lit(p))
-    one = scored.agg(
-        F.count(imp).alias("impostors"), q(imp, 0.5).alias("impostor_median"), q(imp, 0.95).alias("impostor_p95"), q(imp, 0.99).alias("p99"), F.max(imp).alias("impostor_max"),
-        (F.count_if(imp > published) / F.nullif(F.count(imp), F.lit(0))).alias("over_published"), F.count(gen).alias("genuine"), q(gen, 0.5).alias("genuine_median"), q(gen, 0.05).alias("genuine_p05"),
+    """Impostor quantiles, the share of them over a published threshold, genuine quantiles, and how many genuine pairs pass p99.
+
+    Impostors are counted in bins of fixed width first and then sorted only in the bins that matter, so no task holds all of them.
+    """
+    imp, gen = scored.filter("kind = 'impostor' AND score IS NOT NULL").select("score"), scored.filter("kind = 'genuine'")
+    bins = imp.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.max("score").alias("top"), F.count_if(F.col("score") > published).alias("over")).collect()
+    n = sum(r["n"] for r in bins)
+    median, p95, p99 = exact_quantiles(imp, {r["bin"]: r["n"] for r in bins}, [0.5, 0.95, 0.99])
+    q = lambda p: F.percentile("score", F.lit(p))
+    known = lambda x: F.lit(x).cast("double")
+    return gen.agg(
+        F.lit(n).cast("long").alias("impostors"), known(median).alias("impostor_median"), known(p95).alias("impostor_p95"), known(p99).alias("p99"), known(max((r["top"] for r in bins), default=None)).alias("impostor_max"),
+        known(sum(r["over"] for r in bins) / n if n else None).alias("over_published"), F.count("score").alias("genuine"), q(0.5).alias("genuine_median"), q(0.05).alias("genuine_p05"), F.count_if(F.col("score") >= known(p99)).alias("genuine_passed"),
     )
-    passed = scored.filter("kind = 'genuine'").join(F.broadcast(one.select("p99")), F.col("score") >= F.col("p99")).agg(F.count("*").alias("genuine_passed"))
-    return one.join(passed)
 
 
 def squares(df: DataFrame, key: list[str], row: str, vector: str, numbers: int = NUMBERS) -> DataFrame:

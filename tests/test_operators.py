@@ -134,6 +134,29 @@ def test_best_elsewhere_compares_all(spark):
     assert rows(identity.best_elsewhere(df.limit(0), "id", "label", "v")) == []
 
 
+def test_pairs_cap_only_genuine(spark):
+    """Impostors are all pairs of different identities in a bucket, however many rows an identity has."""
+    items = vectors(230, 2, 6)
+    c, few = cosines(items), set()
+    for g in (0, 1):
+        ids = [k for k, label, _ in items if label == g]
+        few |= {ids[int(k * len(ids) / 40)] for k in range(40)}
+    expected = {(a, b, "genuine") for a in few for b in few if a < b and items[a][1] == items[b][1]}
+    expected |= {(a, b, "impostor") for a in range(230) for b in range(a + 1, 230) if items[a][1] != items[b][1] and a % 3 == b % 3}
+    df = spark.createDataFrame([*items, (900, None, [1.0] * 8)], "id long, label int, v array<double>")
+    for grid in ({}, {"numbers": 160}):
+        found = identity.pairs(df, "id", "label", "v", F.col("id") % 3, **grid)
+        got = found.collect()
+        assert len(got) == len(expected) and {(r["a"], r["b"], r["kind"]) for r in got} == expected
+        assert np.allclose([r["score"] for r in got], [c[r["a"], r["b"]] for r in got])
+    imp, gen = ([r["score"] for r in got if r["kind"] == k] for k in ("impostor", "genuine"))
+    one = identity.calibration(found, 0.363).first()
+    assert np.allclose([one["impostor_median"], one["impostor_p95"], one["p99"], one["impostor_max"]], [*np.quantile(imp, [0.5, 0.95, 0.99]), max(imp)])
+    assert np.allclose([one["genuine_median"], one["genuine_p05"], one["over_published"]], [*np.quantile(gen, [0.5, 0.05]), np.mean(np.array(imp) > 0.363)])
+    assert (one["impostors"], one["genuine"], one["genuine_passed"]) == (len(imp), len(gen), sum(x >= one["p99"] for x in gen))
+    assert identity.calibration(found.limit(0), 0.363).first()["p99"] is None
+
+
 def test_audit_chain(spark):
     import hashlib
 
