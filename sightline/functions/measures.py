@@ -41,11 +41,11 @@ def gravity(x: Column, y: Column, z: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """A size in steps of a thousand with one decimal, halves to even."""
-    out = F.format_string("%.1f GB", F.rint(n / 1e8) / 10)
-    for unit, size in (("MB", 1e6), ("kB", 1e3)):
+    """A size in steps of a thousand with one decimal, halves to even; null of null."""
+    out = F.format_string("%.1f TB", F.rint(n / 1e11) / 10)
+    for unit, size in (("GB", 1e9), ("MB", 1e6), ("kB", 1e3)):
         out = F.when(n < 1000 * size, F.format_string(f"%.1f {unit}", F.rint(n / (size / 10)) / 10)).otherwise(out)
-    return F.when(n < 1000, F.format_string("%d B", n)).otherwise(out)
+    return F.when(n < 1000, F.format_string("%d B", n)).when(n.isNotNull(), out)
 
 
 def listed_kinds(asked: Column, known: list[str]) -> Column:

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sightline import plans
 from sightline.operators import asof, dispatch, identity, intervals, stateful
 from sightline.sources import ingest
 from sightline.streaming import twins
@@ -157,6 +158,13 @@ def test_pairs_cap_only_genuine(spark):
     assert identity.calibration(found.limit(0), 0.363).first()["p99"] is None
 
 
+def test_human_sizes_of_every_document(spark, tmp_path):
+    sizes = {1: 999, 2: 1250, 3: 999_949, 4: 1_000_000, 5: 2_350_000, 6: 3_000_000_000, 7: 4_500_000_000_000, 8: 7_000_000_000_000_000, 9: None}
+    spark.createDataFrame(list(sizes.items()), "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["size"] for r in plans.QUERIES["human_sizes"](spark, str(tmp_path)).collect()}
+    assert found == {1: "999 B", 2: "1.2 kB", 3: "999.9 kB", 4: "1.0 MB", 5: "2.4 MB", 6: "3.0 GB", 7: "4.5 TB", 8: "7000.0 TB", 9: None}
+
+
 def test_audit_chain(spark):
     import hashlib
 
