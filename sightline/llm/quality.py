@@ -28,12 +28,13 @@ def line_quality(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: int
     """Rule counts for every whole text of docs (doc_id, source, text) and a verdict from cross-document line frequency.
 
     Lines are normalised (lower case, digits as 0, white space as one space) and hashed. A line that more than
-    line_limit distinct texts of one host (source) hold is removed from all of them; exact copies count once. A document
+    line_limit distinct documents of one host (source) hold is removed from all of them. Exact copies under different ids are
+    different documents; rows with one id and one text are one document, and every row without an id is its own. A document
     is kept if the base rules pass it and at least least_left per cent of its words are left. Five-word windows
     are compared by a 64-bit hash of their words, within one text.
 
     Each text is read once; what is counted from it (its line hashes too) is written to the shared folder. Counts of
-    (host, line, text) and of (host, line) are partial before they are shuffled. Lines join the frequent lines on
+    (host, line, document) and of (host, line) are partial before they are shuffled. Lines join the frequent lines on
     (host, line), where Spark sends a small side whole and splits a skewed one, and come back to rows by a unique row number.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and n_removed (words in removed
@@ -55,9 +56,10 @@ def line_quality(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: int
         F.expr(f"transform(lines, x -> named_struct('hash', xxhash64({normal}), 'words', CAST(regexp_count(x, '[^\\\\x20\\\\x09-\\\\x0D]+') AS BIGINT)))").alias("lines"),
     )
     rows = written(rows, "quality-rows")  # row numbers are fixed from here on
-    lines = rows.select("row", "host", "text_key", F.explode("lines").alias("line")).select("row", "host", "text_key", "line.hash", "line.words")
-    held = lines.groupBy("host", "hash", "text_key").agg(F.lit(1).alias("one"))
-    frequent = held.groupBy("host", "hash").agg(F.count("*").alias("texts")).filter(F.col("texts") > line_limit).select("host", "hash")
+    document = F.xxhash64("doc_id", "text_key", F.when(F.col("doc_id").isNull(), F.col("row")))
+    lines = rows.select("row", "host", document.alias("document"), F.explode("lines").alias("line")).select("row", "host", "document", "line.hash", "line.words")
+    held = lines.groupBy("host", "hash", "document").agg(F.lit(1).alias("one"))
+    frequent = held.groupBy("host", "hash").agg(F.count("*").alias("documents")).filter(F.col("documents") > line_limit).select("host", "hash")
     removed = lines.join(frequent, ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("n_removed"))
     out = rows.drop("lines").join(removed, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -155,6 +155,15 @@ def test_quality(docs, rows, empty):
     assert got(quality.line_quality(empty)) == []
 
 
+def test_quality_counts_documents(spark):
+    """Exact copies under different ids each count; rows of one id and text count once, rows without an id each."""
+    text = " ".join(f"w{'abcdefghijkl'[k]}" for k in range(12))
+    rows = [(k, text, "copies") for k in range(4)] + [(9, text, "repeated")] * 4 + [(None, text, "nameless")] * 4 + [(k, text, "few") for k in range(3)]
+    found = got(quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), line_limit=3))
+    by_id = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"], r["kept"]) for r in found)
+    assert by_id == sorted([(False, k, 12, False) for k in range(4)] + [(False, 9, 0, True)] * 4 + [(True, 0, 12, False)] * 4 + [(False, k, 0, True) for k in range(3)])
+
+
 @pytest.mark.parametrize("per_range", [250_000, 5])
 def test_sharding(docs, rows, empty, per_range):
     found = got(sharding.shard_documents(docs, rows_per_range=per_range))
