@@ -118,6 +118,17 @@ def test_jaccard(docs, rows, empty):
     assert Counter(ids) == Counter({*want}) + Counter([r["doc_id"] for r in expected if not r["n_shingles"] or r["doc_id"] is None])
 
 
+def test_one_of_each_group_with_null_and_repeated_ids(spark):
+    """A null id keeps only its own row; an id that two texts share is marked for each text alone."""
+    say = lambda x: " ".join(f"{x}{k}" for k in range(30))
+    rows = [(None, say("a")), (5, say("a")), (6, say("a")), (7, say("a") + " more")]
+    rows += [(1, say("b")), (2, say("b")), (2, say("c")), (3, say("c"))]
+    rows += [(8, say("d")), (8, say("d")), (8, say("e")), (None, "x"), (4, None)]
+    kept = neighbours.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(None, say("a")), (5, say("a")), (1, say("b")), (2, say("c")), (8, say("d")), (8, say("e")), (None, "x"), (4, None)]
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(want)
+
+
 def test_frequent_shingles_are_tied(spark, monkeypatch):
     """Lists too long for pairs give the same components."""
     monkeypatch.setattr(neighbours, "FREQUENT", 3)
