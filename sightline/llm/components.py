@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import SENT, dropped, joined, mapped, written
 
 
 class Sets:
@@ -34,38 +34,45 @@ class Sets:
         return True
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a partition, batch by batch, as a spanning star of each set in it."""
     for batch in batches:
         sets, seen = Sets(), set()
-        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sets.join(a, b)
             seen.update((a, b))
-        pairs = [(x, r) for x in seen if (r := sets.find(x)) != x]
-        yield pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, dtype="int64")
+        ties = [(x, r) for x in seen if (r := sets.find(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in ties], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """m, the smallest b, and n, the number of edges, of every a."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+
+
+def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60, sent: int = SENT) -> DataFrame:
     """node and component (its smallest reachable node) for every node with an edge to another one.
 
     Alternating large-star and small-star steps: each node's larger neighbours, then its smaller ones, are tied to the smallest
-    it sees. Minima are combined before they are shuffled, joins are on the node (a skewed one is split at run time), and each
-    step's edges are a table in the shared folder. Batches of edges are first thinned to spanning stars.
+    it sees. Minima are combined before they are shuffled. Edges join the minima on the node: these are sent to every task while they
+    take at most sent bytes; beyond that only those of hubs are, whose number their edges bound, and the rest is shuffled, so a
+    node with millions of neighbours is the work of all tasks. Each step's edges are a table in the shared folder. Batches of edges are first thinned to spanning
+    stars. Edges with a null end or equal ends say nothing; repeated ones count once; without edges there are no rows.
     """
     pairs = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).filter("a <> b")
-    now = written(pairs.mapInPandas(_forest, "a long, b long").distinct(), "edges")
+    now = written(mapped(pairs, _forest, "a long, b long").distinct(), "edges")
     sign = None
     for _ in range(rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        lowest = written(_least(both).withColumn("m", F.least("a", "m")), "lowest")
+        large = joined(both.filter("b > a"), lowest, "a", rows="n", sent=sent).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = written(large, "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        least = written(_least(large), "lowest")
+        small = joined(large, least, "a", rows="n", sent=sent).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = written(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
         old, sign = sign, after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        dropped(large)
-        dropped(now)
+        for done in (lowest, large, least, now):
+            dropped(done)
         now = after
         if sign == old:
             break

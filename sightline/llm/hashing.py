@@ -11,15 +11,6 @@ MULTIPLIER = 0x9E3779B97F4A7C15  # fixed value: an odd 64-bit constant
 U = np.uint64
 
 
-def split_words(text: str | None) -> list[str]:
-    """Runs of anything but the white-space characters 20 and 09 to 0D."""
-    if not text:
-        return []
-    for c in "\n\t\r\v\f":
-        text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U(31))
     h = h * U(0xBF58476D1CE4E5B9)
@@ -65,21 +56,44 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def pieces(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """raw in pieces of about size bytes that end at white space, so that no word is cut; a longer word is a piece by itself."""
+    a = 0
+    while len(raw) - a > size:
+        b = a + size
+        while (at := _last_space(raw[a:b])) < 0 and b < len(raw):  # no space yet: a word longer than size
+            b = min(len(raw), b + size)
+        b = a + at + 1 if at >= 0 else b
+        yield raw[a:b]
+        a = b
+    yield raw[a:]
+
+
+def _last_space(raw: bytes) -> int:
+    return max(raw.rfind(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+
+
 class TextHasher:
     """Hashes of all words of many texts at once, straight from a column's bytes.
 
     A word's hash is a polynomial over its UTF-8 bytes, mixed at the end. Texts are taken in groups of about
-    group bytes, so memory doesn't follow the batch.
+    group bytes and longer ones in pieces of that size, cut between words, so memory doesn't follow the batch or the text, but for
+    8 bytes a word.
     """
 
+    BLOCK = 1 << 12  # bytes of a word for which there is a table of powers; longer words are put together from such blocks
+
     def __init__(self, fold: bool = False, group: int = 1 << 20):
-        self.values, self.group, self.powers = _table(fold), group, np.ones(1, dtype=np.uint64)
+        self.values, self.group = _table(fold), group
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.BLOCK - 1, MULTIPLIER, dtype=np.uint64)]))
 
-    def _power(self, most: int) -> np.ndarray:
-        if len(self.powers) <= most:
-            with np.errstate(over="ignore"):
-                self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(64, 2 * most), MULTIPLIER, dtype=np.uint64)]))
-        return self.powers
+    def _weights(self, place: np.ndarray) -> np.ndarray:
+        """MULTIPLIER to the power of each place in its word."""
+        if not len(place) or place.max() < self.BLOCK:
+            return self.powers[place]
+        blocks = [pow(MULTIPLIER, self.BLOCK * k, 1 << 64) for k in range(int(place.max()) // self.BLOCK + 1)]
+        return self.powers[place % self.BLOCK] * np.array(blocks, dtype=np.uint64)[place // self.BLOCK]
 
     def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of the words of successive texts, how many each text has); ends: where each text ends in data."""
@@ -97,8 +111,20 @@ class TextHasher:
         number = np.cumsum(first)[at] - 1
         place = at - starts[number]
         with np.errstate(over="ignore"):
-            parts = self.values[data[at]] * self._power(int(place.max()))[place]
-            return mixed(np.add.reduceat(parts, np.flatnonzero(first[at]))), n
+            return mixed(np.add.reduceat(self.values[data[at]] * self._weights(place), np.flatnonzero(first[at]))), n
+
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """words() of one text, piece by piece."""
+        found, a = [], 0
+        while a < len(data):
+            b = min(len(data), a + self.group)
+            while b < len(data) and not len(space := np.flatnonzero(IS_SPACE[data[a:b]])):
+                b = min(len(data), b + self.group)
+            b = a + int(space[-1]) + 1 if b < len(data) else b
+            found.append(self.words(data[a:b], np.array([b - a]))[0])
+            a = b
+        every = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+        return every, np.array([len(every)])
 
     def __call__(self, column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of the first text, word hashes, words per text) of groups of texts; a null text has no words."""
@@ -110,7 +136,10 @@ class TextHasher:
         while a < len(column):
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + self.group, "right")) - 1)
             b = min(b, len(column))
-            yield a, *self.words(data[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a])
+            if b == a + 1 and offsets[b] - offsets[a] > self.group:
+                yield a, *self._long(data[offsets[a] : offsets[b]])
+            else:
+                yield a, *self.words(data[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a])
             a = b
 
 

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, released, small_batches, written
-from .toxicity import held_out
+from .toxicity import held_out, sampled
 
 BITS = 15  # n-grams are hashed to 2^15 features
 LETTER = re.compile(r"[^\W\d_]")
@@ -89,12 +89,12 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: i
 
 
 def temperature_of(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature at which held-back rows have the least log loss, by golden section."""
+    """The temperature at which held-back rows have the least log loss, by golden section; 1 where there are none."""
 
     def loss(log_t: float) -> float:
         z = logits / np.exp(log_t)
         z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean()) + 1e-3 * log_t * log_t
+        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).sum()) / max(1, len(y)) + 1e-3 * log_t * log_t
 
     a, b, ratio = -3.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(60):
@@ -110,16 +110,25 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([features.astype(np.int16).tobytes()], pa.binary()), pa.array([np.minimum(counts, 1 << 30).astype(np.int32).tobytes()], pa.binary())], ["lang", "features", "counts"])
 
 
+def calibration_rows(languages: list[int]) -> list[bool]:
+    """Which rows set the temperature only: every fifth of each language, so one with fewer than five loses none."""
+    seen: Counter[int] = Counter()
+    aside = []
+    for y in languages:
+        seen[y] += 1
+        aside.append(seen[y] % 5 == 0)
+    return aside
+
+
 def train(docs: DataFrame, most_rows: int = 4_000) -> Model:
     """A model from docs (doc_id, text, lang) with a language and a letter, held-out rows (crc32 of the id mod 4 is 2) left aside.
 
-    Bound: about most_rows rows, chosen by a hash of the id, are used. One in five of them sets the temperature only.
+    Bound: about most_rows rows are used, chosen by a hash of id and text, null and repeated ids included. One in five of each language sets the temperature only.
     """
     letter = F.col("text").rlike(r"\p{L}")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & ~held_out())
-    share = int((1 << 30) * min(1.0, most_rows / max(1, known.select("doc_id").count())))
-    known = known.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(12)), F.lit(1 << 30)) <= share).filter(letter)
-    sample = written(mapped(known.select("text", "lang"), _featurise, "lang string, features binary, counts binary"), "language-sample")
+    chosen = sampled(known.filter("text IS NOT NULL"), most_rows, 12).filter(letter)
+    sample = written(mapped(chosen.select("text", "lang"), _featurise, "lang string, features binary, counts binary"), "language-sample")
     seen = sorted((r["lang"], bytes(r["features"]), bytes(r["counts"])) for r in sample.collect())
     languages = tuple(sorted({r[0] for r in seen}))
     size = 1 << BITS
@@ -132,11 +141,11 @@ def train(docs: DataFrame, most_rows: int = 4_000) -> Model:
     idf = 1 + np.log((1 + len(raw)) / (1 + texts))
     plain = Model(languages, idf, np.zeros((len(languages), size)), np.zeros(len(languages)), 1.0)
     rows = [(f, plain.vector(f, c), y) for f, c, y in raw]
-    aside = [k % 5 == 4 and len(rows) >= 50 for k in range(len(rows))]
+    aside = calibration_rows([y for *_, y in rows])
     weights, bias = ftrl([r for r, a in zip(rows, aside, strict=True) if not a], len(languages))
     held = [r for r, a in zip(rows, aside, strict=True) if a]
-    temperature = temperature_of(np.array([weights[:, f] @ x + bias for f, x, _ in held]), np.array([y for *_, y in held])) if held and len(languages) > 1 else 1.0
-    return Model(languages, idf, weights, bias, temperature)
+    logits = np.array([weights[:, f] @ x + bias for f, x, _ in held]).reshape(-1, len(languages))
+    return Model(languages, idf, weights, bias, temperature_of(logits, np.array([y for *_, y in held], dtype=int)))
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
@@ -151,11 +160,12 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     # a broadcast carries plain arrays; the class travels with the function
     parts = docs.sparkSession.sparkContext.broadcast((learned.languages, learned.idf, learned.weights, learned.bias, learned.temperature))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(*parts.value)
         for texts in batches:
-            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"score": "float64"})
+            found = [model.predict(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
         released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded
+from .common import LOWER, UPPER, folded, written
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -34,71 +36,96 @@ TEMPLATES = {
 
 THRESHOLD = 80  # per cent of a template's distinct words
 BLOCK, STEP = 64, 32  # words; a template of up to 33 words lies wholly in some block
+SPAN = 2048  # words of a text that are looked at together, a multiple of STEP
 
 
-def _quoted(words: list[str]) -> str:
+def _quoted(words) -> str:
     return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
 def _ints(values) -> str:
-    return "array(" + ", ".join(map(str, values)) + ")"
+    return "CAST(array(" + ", ".join(map(str, values)) + ") AS ARRAY<INT>)"
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    """body with value bound to a name, so that it isn't computed for each use."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def need(size: int, per_cent: int = THRESHOLD) -> int:
     return -(-size * per_cent // 100)
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """License phrases and license templates in every whole text of docs (doc_id, text).
+def words_of(text: str) -> list[str]:
+    return re.findall(WORDS, text.translate(str.maketrans(UPPER, LOWER)))
+
 
-    Base: every place where the words of a BASE phrase stand consecutively. Method: blocks of 64 words, starting every 32, are
-    joined with TEMPLATES where a block holds at least 80 per cent of a template's distinct words. The words of templates and
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = BASE) -> DataFrame:
+    """License phrases and license templates (text to label) in every whole text of docs (doc_id, text).
+
+    Base: every place where the words of a phrase stand consecutively. Method: blocks of 64 words, starting every 32, are
+    joined with the templates where a block holds at least 80 per cent of a template's distinct words. The words of templates and
     phrases get one global order, rarest first, by the number of documents that hold them. A block can only reach
     the threshold if it shares a word of the template's prefix (its n - need + 1 rarest), has need words
-    of that vocabulary, and if the first word they share leaves need on both sides; what passes is counted exactly. The
-    templates are the code's own, so that side of the join is a literal and no text is shuffled. The phrases take the same
-    prefix filter at 100 per cent: only texts that hold a phrase's rarest word are searched for it.
+    of that vocabulary, and if the first word they share leaves need on both sides; what passes is counted exactly. Templates are indexed by
+    their prefix words, and only blocks around such a word are looked at. The phrases take the same
+    prefix filter at 100 per cent: only spans that hold a phrase's rarest word are searched for it.
+
+    Each text is read once; only the places of the vocabulary's words, by spans of 2048 words, are written to the shared folder and
+    looked at again. The templates are literals of the plan, so no text is shuffled. ValueError: a template of more than 33 words, which no
+    block need hold whole, one without words, or a phrase of more than 64.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment that meets the threshold; 1.0
-    for a phrase, else 0.0). Null and empty texts have no words and empty labels; repeated rows give repeated rows; an empty
+    for a phrase, else 0.0). Null and empty texts have no words and empty labels; long texts are read whole; repeated rows give repeated rows; an empty
     table gives none; other columns are ignored.
     """
+    own = [(words_of(t), label) for t, label in templates.items()]
+    said = [(words_of(p), label) for p, label in phrases.items()]
+    if any(not 0 < len(w) <= BLOCK - STEP + 1 for w, _ in own) or any(not 0 < len(w) <= BLOCK for w, _ in said):
+        raise ValueError(f"a template has 1 to {BLOCK - STEP + 1} words, a phrase 1 to {BLOCK}")
+    vocabulary = sorted({w for words, _ in own + said for w in words})
+    known = f"w IN ({', '.join(f"'{w}'" for w in vocabulary)})"
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(folded("text"), F.lit(WORDS), F.lit(0)).alias("words"))
-    vocabulary = sorted({w for t in [*BASE, *TEMPLATES] for w in t.split()})
-    counts = words.select(F.explode(F.expr(f"array_intersect(words, {_quoted(vocabulary)})")).alias("word")).groupBy("word").count()
+    at = f"filter(transform(part, (w, i) -> IF({known}, i, -1)), i -> i >= 0)"
+    span = _bound(f"slice(words, {SPAN} * c + 1, {SPAN + BLOCK})", "part", f"named_struct('at', {at}, 'word', filter(part, w -> {known}))")
+    spans = f"transform(sequence(0, greatest(size(words) - 1, 0) div {SPAN}), c -> {span})"
+    found = written(words.select("doc_id", F.size("words").cast("long").alias("n_words"), F.expr(spans).alias("spans")), "license-words")
+
+    counts = found.select(F.explode(F.expr("array_distinct(flatten(transform(spans, s -> s.word)))")).alias("word")).groupBy("word").count()
     seen = {r["word"]: r["count"] for r in counts.collect()}  # one row for each word of the vocabulary at most
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
 
-    templates, prefixes = [], set()
-    for text, label in TEMPLATES.items():
-        own = sorted({rank[w] for w in text.split()})
-        must = need(len(own))
-        first = own[: len(own) - must + 1]
-        prefixes |= set(first)
-        templates.append(f"named_struct('label', '{label}', 'words', {_ints(own)}, 'prefix', {_ints(first)}, 'need', {must})")
-    rare = {p: min(p.split(), key=rank.get) for p in BASE}
-
-    found = words.withColumn("n_words", F.size("words").cast("long"))
     places = []
-    for phrase, label in BASE.items():
-        own = phrase.split()
-        same = " AND ".join(f"words[i + {k}] = '{w}'" for k, w in sorted(enumerate(own), key=lambda x: rank[x[1]]))
-        starts = f"CASE WHEN size(words) >= {len(own)} AND array_contains(words, '{rare[phrase]}') THEN filter(sequence(0, size(words) - {len(own)}), i -> {same}) ELSE array() END"
-        places.append(F.expr(f"transform({starts}, i -> named_struct('at', i, 'label', '{label}'))"))
+    for words, label in said:
+        same = " AND ".join(f"s.word[j + {k}] = '{w}' AND s.at[j + {k}] = s.at[j] + {k}" for k, w in sorted(enumerate(words), key=lambda x: rank[x[1]]))
+        rare = min(words, key=rank.get)
+        starts = f"IF(size(s.at) >= {len(words)} AND array_contains(s.word, '{rare}'), filter(sequence(0, size(s.at) - {len(words)}), j -> s.at[j] < {SPAN} AND {same}), CAST(array() AS ARRAY<INT>))"
+        places.append(F.expr(f"flatten(transform(spans, (s, c) -> transform({starts}, j -> named_struct('at', {SPAN} * c + s.at[j], 'label', '{label}'))))"))
     found = found.withColumn("places", F.concat(*places))
 
-    candidate = f"arrays_overlap(words, {_quoted([order[i] for i in sorted(prefixes)])})"
-    cut = f"transform(sequence(0, greatest(size(words) - {BLOCK} + {STEP} - 1, 0) div {STEP}), k -> array_intersect(slice(words, {STEP} * k + 1, {BLOCK}), {_quoted(order)}))"
-    ranks = "map(" + ", ".join(f"'{w}', {i}" for w, i in rank.items()) + ")"
-    found = found.withColumn("blocks", F.expr(f"CASE WHEN {candidate} THEN transform({cut}, b -> array_sort(transform(b, w -> element_at({ranks}, w)))) ELSE array() END"))
-    # length, prefix and position, then the exact count
-    filters = "filter(blocks, b -> size(b) >= t.need AND arrays_overlap(b, t.prefix) AND {first} )".format(
-        first="1 + least(size(t.words) - array_position(t.words, array_min(array_intersect(b, t.prefix))), size(b) - array_position(b, array_min(array_intersect(b, t.prefix)))) >= t.need"
-    )
-    shared = f"coalesce(array_max(transform({filters}, b -> size(array_intersect(b, t.words)))), 0)"
-    matches = f"filter(transform(array({', '.join(templates)}), t -> named_struct('label', t.label, 'need', t.need, 'n', size(t.words), 'shared', {shared})), m -> m.shared >= m.need)"
-    found = found.withColumn("matches", F.expr(f"CASE WHEN size(blocks) > 0 THEN {matches} ELSE array() END"))
+    built, by_prefix = [], [[] for _ in order]
+    for k, (words, label) in enumerate(own):
+        ranks = sorted({rank[w] for w in words})
+        first = ranks[: len(ranks) - need(len(ranks)) + 1]
+        for r in first:
+            by_prefix[r].append(k)
+        built.append(f"named_struct('label', '{label}', 'words', {_ints(ranks)}, 'prefix', {_ints(first)}, 'need', {need(len(ranks))})")
+    prefixes = [w for w, ks in zip(order, by_prefix, strict=True) if ks]
+    library, index = "array(" + ", ".join(built) + ")", "array(" + ", ".join(map(_ints, by_prefix)) + ")"
+    numbers = "map(" + ", ".join(f"'{w}', {i}" for w, i in rank.items()) + ")"
+    last = f"greatest(n_words - {BLOCK - STEP + 1}, 0) div {STEP}"  # of the text's blocks
+    near = f"filter(sequence(0, size(s.at) - 1), j -> s.word[j] IN ({', '.join(f"'{w}'" for w in prefixes)}))"
+    starts = f"array_distinct(flatten(transform({near}, j -> array(s.at[j] div {STEP} - 1, s.at[j] div {STEP}))))"
+    starts = f"filter({starts}, k -> k >= 0 AND k < {SPAN // STEP} AND {SPAN // STEP} * c + k <= {last})"
+    block = f"array_sort(array_distinct(transform(filter(sequence(0, size(s.at) - 1), j -> s.at[j] >= {STEP} * k AND s.at[j] < {STEP} * k + {BLOCK}), j -> element_at({numbers}, s.word[j]))))"
+    # length and position, then the exact count
+    first = "array_min(array_intersect(b, t.prefix))"
+    ahead = f"1 + least(size(t.words) - array_position(t.words, {first}), size(b) - array_position(b, {first})) >= t.need"
+    reached = f"filter(transform(array_distinct(flatten(transform(b, r -> {index}[r]))), i -> {library}[i]), t -> size(b) >= t.need AND {ahead})"
+    hits = f"filter(transform({reached}, t -> named_struct('label', t.label, 'need', t.need, 'n', size(t.words), 'shared', size(array_intersect(b, t.words)))), m -> m.shared >= m.need)"
+    matches = f"flatten(transform(spans, (s, c) -> IF(arrays_overlap(s.word, {_quoted(prefixes)}), flatten(transform({starts}, k -> {_bound(block, 'b', hits)})), CAST(array() AS ARRAY<STRUCT<label: STRING, need: INT, n: INT, shared: INT>>))))"
+    found = found.withColumn("matches", F.expr(matches))
     base = "array_distinct(transform(places, p -> p.label))"
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, parts, written
+from .common import WORD, joined, parts, running, written
 
 MOST_EPOCHS = 3
 SEED = "mix-1"
@@ -17,27 +17,23 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS) -> DataFrame:
+def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS, rows_per_part: int = 1_000_000) -> DataFrame:
     """target for each row of (source, source_size): weights by code-point order of sources, null last.
 
     Sharing again whatever sources can't take ends where every source has min(most * size, weight * level) for
     one common level. Sources sorted by size per weight fill up in that order, so the level follows from prefix
-    sums. Works on one row per source.
+    sums. Works on one row per source; ranges of either order are numbered and summed apart, so sources may be as many as hosts.
     """
-    everything = Window.orderBy(F.col("source").asc_nulls_last())
-    filling = Window.orderBy(F.col("source_size") / F.col("weight"), "weight", "place")
-    fill = filling.rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy()
-    t = totals.withColumn("place", F.row_number().over(everything))
-    t = t.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") - 1) % len(weights) + 1).cast("long"))
+    t = running(totals, [F.col("source").asc_nulls_last()], {}, rows_per_part)
+    t = t.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long"))
     t = t.withColumn("cap", F.col("source_size") * most)
-    full, weighed = F.coalesce(F.sum("cap").over(fill), F.lit(0)), F.coalesce(F.sum("weight").over(fill), F.lit(0))
-    t = t.withColumn("level", (F.sum("source_size").over(all_rows) - full) / (F.sum("weight").over(all_rows) - weighed))
+    t = running(t.withColumnRenamed("place", "nth").withColumn("fill", F.col("source_size") / F.col("weight")), [F.col("fill"), F.col("weight"), F.col("nth")], {"full": F.col("cap"), "weighed": F.col("weight")}, rows_per_part)
+    size, weight = t.agg(F.sum("source_size"), F.sum("weight")).first()
+    t = t.withColumn("level", (F.lit(size) - F.col("full")) / (F.lit(weight) - F.col("weighed")))
     # full sources lead in this order; the first that isn't full fixes the level
-    t = t.withColumn("turn", F.row_number().over(filling))
-    open_turn = F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("turn"))
-    t = t.withColumn("level", F.min_by("level", open_turn).over(all_rows))
-    return t.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("weight") * F.col("level"), F.col("cap").cast("double"))))
+    level = t.agg(F.min_by("level", F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("place")))).first()[0]
+    cap = F.col("cap").cast("double")
+    return t.select("source", "source_size", F.least(cap, F.coalesce(F.col("weight") * F.lit(level), cap)).alias("target"))
 
 
 def _key(seed: str):
@@ -57,9 +53,10 @@ def mixing_plan(docs: DataFrame, rows_per_bucket: int = 200_000, seed: str = SEE
     buckets = parts(rows.count(), rows_per_bucket, 64)
     # the first seven hex digits, a number below 2^28, choose the bucket, so buckets follow the order of the keys
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * buckets / (1 << 28)).cast("int"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    totals = sums.groupBy("source").agg(F.sum("held").alias("source_size"))
-    plan = source_targets(totals).select(F.col("source").alias("of"), "source_size", "target", F.floor("target").cast("long").alias("budget"))
+    sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"), F.count("*").alias("documents")), "mix-sums")
+    totals = sums.groupBy("source").agg(F.sum("held").alias("source_size"), F.sum("documents").alias("documents"))
+    plan = source_targets(totals.drop("documents")).alias("t").join(totals.drop("source_size").alias("n"), F.expr("t.source <=> n.source"))
+    plan = plan.select(F.col("t.source").alias("of"), "documents", "source_size", "target", F.floor("target").cast("long").alias("budget"))
     plan = plan.withColumn("epochs", F.floor(F.col("budget") / F.greatest(F.col("source_size"), F.lit(1))).cast("long"))
     plan = written(plan.withColumn("left", F.col("budget") - F.col("epochs") * F.col("source_size")), "mix-plan")
 
@@ -78,9 +75,9 @@ def mixing_plan(docs: DataFrame, rows_per_bucket: int = 200_000, seed: str = SEE
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows and what the plan says of their source; sent to every task only if the sources are few."""
-    plan = F.broadcast(plan) if plan.count() <= 100_000 else plan
-    return rows.join(plan, rows["source"].eqNullSafe(plan["of"])).drop("of")
+    """rows and what the plan says of their source; null is a source too."""
+    named = lambda df, c: df.withColumn("_of", F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("null")))
+    return joined(named(rows, "source"), named(plan, "of").drop("of"), "_of", rows="documents").drop("_of", "documents")
 
 
 def mix_sources(docs: DataFrame, rows_per_bucket: int = 200_000) -> DataFrame:
@@ -99,11 +96,12 @@ def mix_sources(docs: DataFrame, rows_per_bucket: int = 200_000) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus in the columns of docs: each document as many times as the mix takes it whole.
 
-    A document that the cut takes in part counts once more if at least half of its words are taken. Documents without words
-    weigh nothing in a mix and stay once. The texts themselves are not shuffled.
+    A document that the cut takes in part counts once more if at least half of its words are taken. Documents without words (null, empty,
+    white space) weigh nothing in a mix and stay once; null is a source of its own, the last; rows with the same doc_id come or go together;
+    an empty table stays empty; docs' own columns come out, whatever their names. The texts themselves are not shuffled.
     """
     _, plan = mixing_plan(docs)
-    plan = plan.select("of", "epochs", "cut_key", (2 * F.col("rest") >= F.col("cut_words")).alias("half"))
+    plan = plan.select("of", "documents", "epochs", "cut_key", (2 * F.col("rest") >= F.col("cut_words")).alias("half"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     held = docs.select(F.col("source").cast("string").alias("source"), _key(SEED).alias("key"), F.col("text").rlike(WORD).alias("wordy"), F.struct(*columns).alias("row"))
     once_more = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & F.col("half"))

@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ from pyspark.sql.window import Window
 from .common import mapped, parts, written
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -174,14 +175,15 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 204
     """Pack every document (doc_id, text) into sequences of at most capacity tokens by best-fit decreasing.
 
     A document is the ids of its whole text (null: empty) and a closing id 0; longer ones are cut into pieces of
-    capacity tokens. Pieces are ranked within their length by (bucket, doc_id, piece), buckets being a hash of the piece,
-    so a length that a third of all pieces share is ranked by many tasks. The driver sees only the number of
+    capacity tokens. Pieces are numbered as they are written and ranked within their length by (bucket, number), buckets being a hash of the number,
+    so a length, a document or a repeated row that a third of all pieces share is ranked by many tasks. The driver sees only the number of
     pieces of each length, packs that histogram, and rank decides each piece's place.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are packed each for itself; null
     ids are kept; an empty table gives no rows; other columns are ignored.
     """
-    pieces = written(tokenized(docs, path or tokenizer_path(), capacity), "pack-pieces")
+    pieces = tokenized(docs, path or tokenizer_path(), capacity).withColumn("row", F.monotonically_increasing_id())
+    pieces = written(pieces, "pack-pieces")  # row numbers are fixed from here on
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     buckets = parts(sum(counts.values()), pieces_per_bucket, 64)
     placed, _ = best_fit_decreasing(counts, capacity)
@@ -190,18 +192,17 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 204
     keys = np.array([p[0] * shift + p[1] for p in placed], dtype=np.int64)
     first, each, offset = (np.array([p[i] for p in placed], dtype=np.int64) for i in (2, 3, 4))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for length, rank in batches:
-            n, k = length.to_numpy(np.int64), rank.to_numpy(np.int64)
-            at = np.searchsorted(keys, n * shift + k, "right") - 1
-            own = k - (keys[at] - n * shift)
-            yield pd.DataFrame({"sequence_id": first[at] + own // each[at], "offset": offset[at] + own % each[at] * n})
+    @F.arrow_udf("struct<sequence_id: long, offset: long>")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        n, k = (np.asarray(c).astype(np.int64) for c in (length, rank))
+        at = np.searchsorted(keys, n * shift + k, "right") - 1
+        own = k - (keys[at] - n * shift)
+        return pa.StructArray.from_arrays([pa.array(first[at] + own // each[at]), pa.array(offset[at] + own % each[at] * n)], ["sequence_id", "offset"])
 
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     held = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = pieces.withColumn("own", F.row_number().over(within)).join(held, ["length", "bucket"])
     return ranked.withColumn("at", place("length", F.col("before") + F.col("own") - 1)).select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")

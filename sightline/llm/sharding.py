@@ -2,51 +2,61 @@
 
 from __future__ import annotations
 
-import bisect
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import parts, written
+from .common import parts, small_batches, written
 
 LEAST_ID = -(2**63)
+MOST_RANGES = 20_000  # bounds what the driver holds, whatever the rows; ranges grow beyond that
+
+Splitter = tuple[int, int, int]  # key, ident, row
+
+
+def _below(splitters: np.ndarray, key: np.ndarray, ident: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The number of sorted splitters (n, 3) at or below each (key, ident, row)."""
+    low, high = np.searchsorted(splitters[:, 0], key, "left"), np.searchsorted(splitters[:, 0], key, "right")
+    tied = np.flatnonzero(low < high)
+    for k in np.unique(key[tied]).tolist():  # keys that hold a splitter: there the id decides, then the row
+        at = tied[key[tied] == k]
+        own = splitters[low[at[0]] : high[at[0]]]
+        first, last = np.searchsorted(own[:, 1], ident[at], "left"), np.searchsorted(own[:, 1], ident[at], "right")
+        low[at] += first
+        same = np.flatnonzero(first < last)
+        for i in np.unique(ident[at[same]]).tolist():
+            here = same[ident[at[same]] == i]
+            low[at[here]] += np.searchsorted(own[first[here[0]] : last[here[0]], 2], row[at[here]], "right")
+    return low
 
 
-def _searcher(splitters: list[tuple[int, int]]):
-    """A vectorised look-up of the number of splitters at or below each (key, id)."""
-    keys = np.array([k for k, _ in splitters], dtype=np.int64)
+def _searcher(splitters: list[Splitter]):
+    """A column function: _below() of columns key, ident and row."""
+    held = np.array(splitters, dtype=np.int64).reshape(-1, 3)
 
-    @F.pandas_udf("int")
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for key, ident in batches:
-            k = key.to_numpy(dtype=np.int64)
-            low, high = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
-            # only where a splitter has the same key does the id decide
-            for i in np.flatnonzero(low < high):
-                low[i] = bisect.bisect_right(splitters, (int(k[i]), int(ident.iloc[i])), int(low[i]), int(high[i]))
-            yield pd.Series(low.astype(np.int32))
+    @F.arrow_udf("int")
+    def find(key: pa.Array, ident: pa.Array, row: pa.Array) -> pa.Array:
+        return pa.array(_below(held, *(np.asarray(c) for c in (key, ident, row))).astype(np.int32))
 
     return find
 
 
-def _sample(rows: DataFrame, total: float, n: int, seed: int) -> list[tuple[int, int, int]]:
+def _sample(rows: DataFrame, total: float, n: int, seed: int) -> list[tuple[int, int, int, int]]:
     """About n keys, each drawn in proportion to its weight; a hash stands in for chance, so reruns agree."""
-    chance = F.pmod(F.xxhash64("ident", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(F.xxhash64("key", "ident", "row", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     draws = F.floor(F.col("weight") * F.lit(n / total) + chance).cast("long")
-    return sorted((r[0], r[1], r[2]) for r in rows.select("key", "ident", draws.alias("n")).filter("n > 0").collect())
+    return sorted(tuple(r) for r in rows.select("key", "ident", "row", draws.alias("n")).filter("n > 0").collect())
 
 
-def _quantiles(sample: list[tuple[int, int, int]], ranges: int) -> list[tuple[int, int]]:
-    total, seen, out = sum(n for *_, n in sample), 0, []
-    for key, ident, n in sample:
+def _quantiles(sample: list[tuple[int, int, int, int]], ranges: int) -> list[Splitter]:
+    total, seen, out = sum(s[-1] for s in sample), 0, []
+    for *at, n in sample:
         seen += n
         while len(out) < ranges - 1 and seen * ranges >= (len(out) + 1) * total:
-            out.append((key, ident))
+            out.append(tuple(at))
     return sorted(set(out))
 
 
@@ -54,22 +64,24 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rows_per_range: int = 2
     """Shard every row of docs (doc_id, text) so that the shards' bytes are near equal.
 
     A row weighs the UTF-8 bytes of its text plus 8 (null text: 8). Rows are ordered by (hash of text,
-    doc_id), so equal texts are neighbours. Splitters from a size-weighted sample cut that order into
+    doc_id, row number), so equal texts are neighbours. Splitters from a size-weighted sample cut that order into
     ranges of bounded work; a range that came out at over twice its share is sampled again by itself and
-    divided, inside a group of copies too, since doc_id is part of the key. Exact sums over the ranges then
+    divided, inside a group of copies or of repeated rows too, since doc_id and row number are part of the key. Exact sums over the ranges then
     place the shard boundaries; a boundary that falls inside a group smaller than group_slack of a
     shard moves to the group's nearer end, so only larger groups are ever divided.
 
     Returns doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null under this law).
     Null ids sort first; repeated rows get slots of their own; an empty table gives no rows; other columns
-    are ignored. Driver: a sample and sums that follow the number of ranges, never rows or groups.
+    are ignored; a very long text is a range by itself. Driver: a sample and sums that follow the number of ranges, at most about
+    20,000 before overfull ones are divided, never rows or groups.
     """
     spark = docs.sparkSession
+    small_batches(spark, rows=10_000)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = written(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("ident"), F.xxhash64(text).alias("key"),
-            (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+            F.monotonically_increasing_id().alias("row"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         ),
         "shard-rows",
     )
@@ -78,16 +90,16 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rows_per_range: int = 2
         empty = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
         return spark.createDataFrame([], empty)
     rows = rows.withColumn("weight", F.col("size") + F.lit(size / count))  # bounds the rows of a range as well as its bytes
-    ranges, total = parts(count, rows_per_range, 4 * n_shards), 2.0 * size
+    ranges, total = min(MOST_RANGES, parts(count, rows_per_range, 4 * n_shards)), 2.0 * size
 
     def placed_in(splitters):
-        return rows.withColumn("range", _searcher(splitters)("key", "ident"))
+        return rows.withColumn("range", _searcher(splitters)("key", "ident", "row"))
 
     splitters = _quantiles(_sample(rows, total, draws_per_range * ranges, 17), ranges)
     for again in range(8):
         ranged = placed_in(splitters)
-        sums = {r["range"]: r for r in ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.count_distinct(F.struct("key", "ident")).alias("keys")).collect()}
-        over = [k for k, r in sums.items() if r["weight"] > 2 * total / ranges and r["keys"] > 1]
+        sums = {r["range"]: r for r in ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("weight").alias("weight")).collect()}
+        over = [k for k, r in sums.items() if r["weight"] > 2 * total / ranges and r["n"] > 1]
         if not over:
             break
         more = set(splitters)
@@ -103,8 +115,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rows_per_range: int = 2
     for k in order:
         bases.append((k, before))
         before += sums[k]["size"]
-    base = F.broadcast(spark.createDataFrame(bases, "range int, base long")) if len(bases) <= 100_000 else spark.createDataFrame(bases, "range int, base long")
-    inside = Window.partitionBy("range").orderBy("key", "ident")
+    base = F.broadcast(spark.createDataFrame(bases, "range int, base long"))  # a row for each range
+    inside = Window.partitionBy("range").orderBy("key", "ident", "row")
     placed = written(
         ranged.withColumn("through", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("at", F.row_number().over(inside).cast("long"))
@@ -136,8 +148,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rows_per_range: int = 2
     for k, s, n, first in runs:
         offsets.append((k, s, filled[s] - first))
         filled[s] += n
-    offset = spark.createDataFrame(offsets, "range int, shard int, shift long")
+    offset = F.broadcast(spark.createDataFrame(offsets, "range int, shard int, shift long"))  # a row for each range and boundary
     return (
-        placed.join(F.broadcast(offset) if len(offsets) <= 100_000 else offset, ["range", "shard"])
+        placed.join(offset, ["range", "shard"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("shift")).alias("slot"), F.lit(None).cast(T.IntegerType()).alias("grown_shard"))
     )

@@ -11,13 +11,16 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, joined_small, mapped, written
-from .hashing import TextHasher, run_hashes, signed, split_words
+from .common import WORD, dropped, joined, mapped, one_each, written
+from .hashing import TextHasher, pieces, run_hashes, signed
 
 WINDOW = 35  # words of a repeat
 SEED = 20  # words of an anchor
 
 
+STEP = 1 << 20  # windows that are looked at together
+
+
 def anchors_of(hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every seed-word run, anchor of every window): in each window the smallest run hash, the first one on ties.
 
@@ -27,11 +30,25 @@ def anchors_of(hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray,
     if len(hashes) < window:
         return runs, np.empty(0, dtype=np.int64)
     inside = sliding_window_view(runs, window - seed + 1)
-    return runs, inside.argmin(axis=1) + np.arange(len(inside))
+    return runs, np.concatenate([inside[a : a + STEP].argmin(axis=1) + np.arange(a, min(a + STEP, len(inside))) for a in range(0, len(inside), STEP)])
+
+
+def kept_digest(raw: bytes, gone: np.ndarray | None = None) -> str:
+    """SHA-256 of a text's words (at the six white-space characters) that aren't gone, joined by one space; piece by piece."""
+    out, at, begun = hashlib.sha256(), 0, False
+    for piece in pieces(raw):
+        words = piece.split()
+        if gone is not None:
+            at += len(words)
+            words = [w for w, g in zip(words, gone[at - len(words) : at].tolist(), strict=True) if not g]
+        if words:
+            out.update(b" " * begun + b" ".join(words))
+            begun = True
+    return out.hexdigest()
 
 
-def digest(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+def raw(text) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass")
 
 
 def _scan(window: int, seed: int):
@@ -45,8 +62,7 @@ def _scan(window: int, seed: int):
             for first, hashes, n in hasher(batch.column(2)):
                 ends = np.concatenate([[0], n.cumsum()]).tolist()
                 for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False), first):
-                    words = (batch.column(2)[i].as_py() or "").encode("utf-8", "surrogatepass").split()  # at the same six characters
-                    rows.append((b - a, hashlib.sha256(b" ".join(words)).hexdigest()))
+                    rows.append((b - a, kept_digest(raw(batch.column(2)[i]))))
                     runs, at = anchors_of(hashes[a:b], window, seed)
                     if len(at):
                         hit, many = np.unique(runs[np.unique(at)], return_counts=True)
@@ -103,11 +119,10 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i in range(batch.num_rows):
-                words = split_words(batch.column("text")[i].as_py())
-                gone = covered(np.asarray(batch.column("starts")[i].values, dtype=np.int64), len(words), window)
+            for key, text, n, starts in zip(*(batch.column(c) for c in ("key", "text", "n_words", "starts")), strict=True):
+                gone = covered(np.asarray(starts.values, dtype=np.int64), n.as_py(), window)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                out.append((batch.column("key")[i].as_py(), int(gone.sum()), digest([w for w, g in zip(words, gone, strict=True) if not g]), edges.tolist()))
+                out.append((key.as_py(), int(gone.sum()), kept_digest(raw(text), gone), edges.tolist()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())), strict=True)], ["key", "gone", "left_digest", "spans"])
 
@@ -121,23 +136,31 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     A key stands for all rows with the same text (a 64-bit hash of it), which drop out as one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     scanned = written(mapped(keyed, _scan(window, seed), "doc_id long, key long, n_words long, digest string, anchor long, again boolean"), "repeat-scan")
     rows = written(scanned.filter("anchor IS NULL").select("doc_id", "key", "n_words", "digest"), "repeat-rows")
     anchors = scanned.filter("anchor IS NOT NULL").select("anchor", "key", "again")
-    shared = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("again").alias("again")).filter("a <> b OR again").select("anchor")
-    seeds = written(anchors.select("anchor", "key").join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "repeat-seeds")
+    shared = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("again").alias("again"), F.count("*").alias("texts")).filter("a <> b OR again").select("anchor", "texts")
+    shared = written(shared, "repeat-shared")
+    seeds = written(joined(anchors.select("anchor", "key"), shared, "anchor", rows="texts").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "repeat-seeds")
     dropped(scanned)
+    dropped(shared)
     # one row for each key: the smallest id; equal rows of one id give the same text again, which is dropped
-    first = rows.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"))
-    marked = seeds.join(first, "key").select("key", "first", "anchors")
-    one = keyed.withColumn("first", F.coalesce("doc_id", F.lit(-(2**63)))).select("key", "first", "text")
-    texts = written(joined_small(one, marked, ["key", "first"], most=4_000_000, weight=F.size("anchors")).select("key", "text", "anchors"), "repeat-texts")
-    spread = mapped(texts, _extend(window, seed), "key long, start int, anchor long, whole long")
-    twice = spread.groupBy("anchor", "whole").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("start").alias("c"), F.max("start").alias("d")).filter("a <> b OR c <> d").select("anchor", "whole")
-    twice = written(twice, "repeat-twice")  # a table on this side lets Spark split a skewed class on the other
-    starts = spread.join(twice, ["anchor", "whole"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
-    return rows, texts.select("key", "text"), starts
+    first = rows.groupBy("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("ident")).agg(F.count("*").alias("rows"), F.max("n_words").alias("n_words"))
+    first = first.groupBy("key").agg(F.min("ident").alias("at"), F.min_by("rows", "ident").alias("twins"), F.sum("rows").alias("many"), F.max("n_words").alias("n_words"))
+    marked = written(seeds.select("key").join(first, "key"), "repeat-marked")
+    one = one_each(docs.select(F.xxhash64(text).alias("key"), ident.alias("ident"), text.alias("text")), marked, "inner").select("key", "text", "n_words")
+    texts = written(one.join(seeds, "key"), "repeat-texts")  # only texts with a candidate are shuffled
+    dropped(marked)
+    dropped(seeds)
+    spread = written(mapped(texts, _extend(window, seed), "key long, start int, anchor long, whole long"), "repeat-windows")
+    twice = spread.groupBy("anchor", "whole").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("start").alias("c"), F.max("start").alias("d"), F.count("*").alias("places")).filter("a <> b OR c <> d")
+    twice = written(twice.select("anchor", "whole", "places"), "repeat-twice")
+    starts = written(joined(spread, twice, ["anchor", "whole"], rows="places").groupBy("key").agg(F.collect_set("start").alias("starts")), "repeat-starts")
+    dropped(spread)
+    dropped(twice)
+    return rows, texts.select("key", "text", "n_words"), starts
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with_spans: bool = False) -> DataFrame:
@@ -149,15 +172,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with
     pair by pair. Rows with equal texts of 35 words or more lose everything, since each window starts in the other too.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, with with_spans, key (a hash of the text) and
-    spans (from, to, from, ... in words; null: nothing was removed). Null and empty texts have no words; repeated rows are copies of each other; an empty table gives no rows; other columns are
-    ignored. Texts are read twice; only those with a shared seed are written in between.
+    spans (from, to, from, ... in words; null: nothing was removed). Null and empty texts have no words; repeated rows are copies of each other; an empty table
+    gives no rows; other columns are ignored; long texts are hashed piece by piece, whole. Texts are read twice; only those with a shared seed are written in between.
     """
     rows, texts, starts = repeated_windows(docs, window, seed)
-    cut = mapped(texts.join(starts, "key"), _cut(window), "key long, gone long, left_digest string, spans array<int>").dropDuplicates(["key"])
+    cut = mapped(texts.join(starts, "key"), _cut(window), "key long, gone long, left_digest string, spans array<int>")
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
     parts = written(copies.join(cut, "key", "left").filter("copies > 1 OR gone IS NOT NULL"), "repeat-cut")
     every = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    out = rows.join(parts, "key", "left")
+    out = joined(rows, parts if with_spans else parts.drop("spans"), "key", "left", rows="copies")
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
         "doc_id", "n_words", F.when(every, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
@@ -169,20 +192,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with
 def documents_without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """docs with repeats cut out of their texts: the kept words joined by one space, n_chars set anew where there is such a column.
 
-    Texts without a repeat stay as they are. A document that loses all its words goes.
+    Texts without a repeat stay as they are, null and empty ones too. A document that loses all its words goes, as all copies of a text of
+    35 words or more do. Repeated rows stay as often as they are there if their text keeps a word; an empty table stays empty; docs' own columns
+    come out, whatever their names.
     """
     found = remove_repeats(docs, window, seed, with_spans=True).filter("n_removed > 0")
-    spans = written(found.groupBy("key").agg(F.first("spans").alias("spans"), F.first(F.col("n_removed") == F.col("n_words")).alias("all_gone")), "repeat-spans")
+    spans = written(found.groupBy("key").agg(F.first("spans").alias("spans"), F.first(F.col("n_removed") == F.col("n_words")).alias("all_gone"), F.count("*").alias("copies")), "repeat-spans")
 
     columns = docs.columns
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
-    cut = joined_small(own, spans, "key", "left", most=4_000_000, weight=F.size("spans")).filter("all_gone IS NULL OR NOT all_gone")
-    # a word is kept if an even number of span ends lies at or before its place
-    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
-    kept = F.array_join(F.filter(words, lambda w, i: F.size(F.filter("spans", lambda a: a <= i)) % 2 == 0), " ")
-    cut = cut.withColumn("text", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(kept))
-    new = {"text": F.col("text"), "n_chars": F.when(F.col("spans").isNull(), F.col("row").getField("n_chars") if "n_chars" in columns else F.lit(0)).otherwise(F.length("text")).cast("long")}
-    return cut.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns))
+    # first only whether a text changes, then the spans of those that do
+    marks = written(spans.select("key", "all_gone", "copies"), "repeat-marks")
+    own = joined(own, marks, "key", "left", rows="copies").drop("copies").filter("all_gone IS NULL OR NOT all_gone")
+    cut = joined(own.filter("NOT all_gone").drop("all_gone"), spans.filter("NOT all_gone").drop("all_gone"), "key", rows="copies")
+    # the words between spans, joined; a one-element array binds the words to a name that is used again
+    gaps = "transform(sequence(0, size(spans) div 2), i -> slice(w, IF(i = 0, 0, spans[2 * i - 1]) + 1, IF(2 * i = size(spans), size(w), spans[2 * i]) - IF(i = 0, 0, spans[2 * i - 1])))"
+    cut = cut.withColumn("words", F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)))
+    cut = cut.withColumn("kept", F.expr(f"array_join(element_at(transform(array(words), w -> flatten({gaps})), 1), ' ')"))
+    new = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in columns else {})
+    whole = own.filter("all_gone IS NULL").select(*(F.col("row").getField(c).alias(c) for c in columns))
+    return whole.unionByName(cut.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns)))
 
 
 def oracle(window: int = WINDOW) -> str:

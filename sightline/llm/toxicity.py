@@ -10,13 +10,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, released, small_batches, written
+from .common import joined, mapped, released, small_batches, written
 
 #: Cyrillic and Greek letters that look like Latin ones, and those.
 LOOKALIKES = "авеорсухіјѕкмнтαεικνορτυχ", "abeopcyxijskmhtaeiknoptux"
@@ -25,8 +24,9 @@ DIGITS = "0134578@", "oieastba"
 FOLD = str.maketrans("".join(x[0] for x in (LOOKALIKES, DIGITS)), "".join(x[1] for x in (LOOKALIKES, DIGITS)))
 #: Phrases in which a lexicon word is no insult.
 EXCEPTIONS = ("trash can", "trash bag", "trash collection", "clown fish", "pond scum", "pathetic fallacy", "disgusting taste in his mouth")
-#: What is known without any label.
-STARTING = {"idiot": 3.0, "moron": 3.0, "stupid": 2.5, "scum": 3.0, "worthless": 2.5, "pathetic": 2.5, "loser": 2.5, "disgusting": 2.0, "clown": 2.0, "trash": 2.0}
+#: Insults known without any label. Each counts as SUPPOSED toxic texts that hold it, besides those that are labelled.
+KNOWN = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic", "loser", "disgusting", "clown", "trash")
+SUPPOSED = 15
 SPACES = re.compile(r"[\W_]+")
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -52,12 +52,16 @@ def likeness(folded: str) -> int:
     return min((xxhash.xxh32_intdigest(a + " " + b) for a, b in zip(words, words[1:] or words, strict=False)), default=0)
 
 
+#: Bias, weight of the logarithm of all matched weight, and of that per hundred words, before any label is seen.
+PRIOR = (-3.0, 3.0, 0.3)
+
+
 @dataclass(frozen=True)
 class Model:
     lexicon: dict[str, float]
-    bias: float = -3.0
-    total: float = 3.0  # of the logarithm of all matched weight
-    density: float = 0.3  # of the logarithm of matched weight per hundred words
+    bias: float = PRIOR[0]
+    total: float = PRIOR[1]
+    density: float = PRIOR[2]
 
     def matcher(self):
         import ahocorasick
@@ -96,7 +100,8 @@ def _toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0):
             folded = fold(text.as_py() or "")
             found = sorted(terms(folded))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([likeness(folded)] * len(found), pa.int64())], ["term", "like"])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([likeness(folded)] * len(found), pa.int64())], ["term", "like"])
 
 
 def _clean_counts(wanted: frozenset[str]):
@@ -110,58 +115,82 @@ def _clean_counts(wanted: frozenset[str]):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression (bias first, unpenalised) by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = PRIOR, penalty: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression, bias first, by Newton's method with steps halved until they help; they are drawn to the prior,
+    which holds where there are no rows."""
     x = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(x.shape[1]), np.diag([1e-3] + [penalty] * (x.shape[1] - 1))
-    for _ in range(50):
+    start = np.array(prior)
+    ridge = np.diag([1e-2] + [penalty] * (x.shape[1] - 1))
+
+    def loss(w):
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (w - start) @ ridge @ (w - start) / 2)
+
+    w = start
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
-        w += step
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ (w - start))
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-8:
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_terms: int = 20_000, least_texts: int = 5, least_weight: float = 3.0) -> Model:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic), held-out rows (crc32 of the id mod 4 is 2) left aside.
+def sampled(rows: DataFrame, most_rows: int, seed: int) -> DataFrame:
+    """About most_rows at most of rows (doc_id, text, ...), chosen by a hash of id and text; of rows with one id and one text one.
 
-    Bound: about most_rows labelled rows, chosen by a hash of the id, are used. A term is a word or a word's beginning; its weight is
-    the logarithm of how much likelier it is in toxic than in other texts. It needs least_texts toxic texts, near copies counted
-    once. Two coefficients and a bias then turn matched weight into a score. Without rows of both labels: STARTING.
+    So the bound is one on rows, also where ids are null or repeated.
     """
-    small_batches(docs.sparkSession)
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
-    ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = int((1 << 30) * min(1.0, most_rows / max(1, ids.count())))
-    ids = ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) <= share)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = written(own.join(F.broadcast(ids), "doc_id").select("text", "toxic"), "toxic-sample")
-    many = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not many.get(1) or not many.get(0):
-        return Model({f" {w}": x for w, x in STARTING.items()})
-    texts = lambda toxic: sample.filter(F.col("toxic") == toxic).select("text")
-    toxic = mapped(texts(1), _toxic_terms, "term string, like long").groupBy("term").agg(F.count_distinct("like").alias("n")).filter(F.col("n") >= least_texts)
-    toxic = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(most_terms).collect()}
-    clean = mapped(texts(0), _clean_counts(frozenset(toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    clean = {r["term"]: r["n"] for r in clean.collect()}
-    weigh = lambda t: math.log((toxic[t] + 0.5) / (many[1] + 1)) - math.log((clean.get(t, 0) + 0.5) / (many[0] + 1))
+    share = int((1 << 30) * min(1.0, most_rows / max(1, rows.count())))
+    keyed = rows.withColumn("_key", F.xxhash64("doc_id", "text"))
+    return keyed.filter(F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 30)) <= share).dropDuplicates(["_key"]).drop("_key")
+
+
+def lexicon_of(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least_texts: int = 5, least_weight: float = 3.0) -> dict[str, float]:
+    """Weights of terms from the numbers of toxic and clean texts that hold each: the logarithm of how much likelier one is in toxic texts."""
+    known = {f" {w} ": SUPPOSED for w in KNOWN}
+    said_in = {t: toxic.get(t, 0) + known.get(t, 0) for t in {*toxic, *known}}
+    weigh = lambda t: math.log((said_in[t] + 0.5) / (n_toxic + SUPPOSED + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + SUPPOSED + 1))
     lexicon: dict[str, float] = {}
     said: Counter[str] = Counter()  # toxic texts of a beginning that a longer term in the lexicon already explains
-    for t in sorted(toxic, key=lambda t: (-round(weigh(t), 1), len(t), t)):
+    for t in sorted(said_in, key=lambda t: (-round(weigh(t), 1), len(t), t)):
         weight = weigh(t)
         if weight < least_weight:
             break
-        if toxic[t] - said[t] < least_texts or any(lexicon.get(t[:n], 0) >= weight - 1 for n in range(2, len(t))):
+        if said_in[t] - said[t] < least_texts or any(lexicon.get(t[:n], 0) >= weight - 1 for n in range(2, len(t))):
             continue
         lexicon[t] = weight  # a beginning that says as much stands for its longer forms
         for n in range(2, len(t)):
-            said[t[:n]] = max(said[t[:n]], toxic[t])
-    if not lexicon:
-        return Model({f" {w}": x for w, x in STARTING.items()})
+            said[t[:n]] = max(said[t[:n]], said_in[t])
+    return lexicon
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, least_texts: int = 5, least_weight: float = 3.0) -> Model:
+    """A model from docs (doc_id, text) and labels (doc_id, toxic), held-out rows (crc32 of the id mod 4 is 2) left aside.
+
+    Bound: about most_rows labelled rows are used, chosen by a hash of id and text. A term is a word or a word's beginning; its weight is
+    the logarithm of how much likelier it is in toxic than in other texts. It needs least_texts toxic texts, near copies counted
+    once; the words of KNOWN count as SUPPOSED more, so they hold until labels speak against them. Two coefficients and a bias, drawn to PRIOR, then turn
+    matched weight into a score. Null labels and ids say nothing; of an id's labels the largest holds; without any label KNOWN and PRIOR are the model.
+    """
+    small_batches(docs.sparkSession)
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
+    ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), written(ids, "toxic-ids"), "doc_id")
+    sample = written(sampled(rows, most_rows, 11).select("text", "toxic"), "toxic-sample")
+    many = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    texts = lambda toxic: sample.filter(F.col("toxic") == toxic).select("text")
+    toxic = mapped(texts(1), _toxic_terms, "term string, like long").groupBy("term").agg(F.count_distinct("like").alias("n")).filter(F.col("n") >= least_texts)
+    toxic = {r["term"]: r["n"] for r in toxic.collect()}  # no more than the sample's texts hold
+    wanted = frozenset({*toxic, *(f" {w} " for w in KNOWN)})
+    clean = mapped(texts(0), _clean_counts(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    lexicon = lexicon_of(toxic, {r["term"]: r["n"] for r in clean.collect()}, many.get(1, 0), many.get(0, 0), least_texts, least_weight)
     model = Model(lexicon)
-    seen = sample.select("toxic", measured(model)(F.col("text")).alias("m")).select("toxic", "m.*").toPandas()
-    bias, total, density = _logistic(np.column_stack(model.features(seen["weight"], seen["words"])), seen["toxic"].to_numpy(float))
+    seen = mapped(sample, _measured(model), "toxic int, weight double, words long").collect()  # a row of the sample each
+    columns = [np.array([r[k] for r in seen], dtype=float) for k in range(3)]
+    bias, total, density = _logistic(np.column_stack(model.features(columns[1], columns[2])), columns[0])
     return Model(lexicon, float(bias), float(total), float(density))
 
 
@@ -169,12 +198,12 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 4 == 2, F.lit(False))
 
 
-def measured(model: Model):
-    @F.pandas_udf("weight double, words long")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _measured(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
-        for texts in batches:
-            yield pd.DataFrame([model.measure(matcher, t) for t in texts], columns=["weight", "words"]).astype({"weight": "float64", "words": "int64"})
+        for batch in batches:
+            found = [model.measure(matcher, t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64())], ["toxic", "weight", "words"])
 
     return run
 
@@ -182,12 +211,12 @@ def measured(model: Model):
 def scored(model: Model):
     """A column function: the toxicity of a whole text, 0 to 1."""
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = model.matcher()
         for texts in batches:
-            found = np.array([model.measure(matcher, t) for t in texts], dtype=float).reshape(-1, 2)
-            yield pd.Series(model.score(found[:, 0], found[:, 1]))
+            found = np.array([model.measure(matcher, t.as_py()) for t in texts], dtype=float).reshape(-1, 2)
+            yield pa.array(model.score(found[:, 0], found[:, 1]))
         released()
 
     return run
@@ -205,6 +234,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score below threshold, in their own columns."""
+    """The rows of docs that score below threshold, in their own columns, whatever their names.
+
+    Null and empty texts match nothing and stay; repeated rows stay or go together; an empty table stays empty.
+    """
     score = scored(train(docs, labels))
-    return docs.filter(score("text") < threshold)
+    return docs.filter(score(F.col("text")) < threshold)

@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_small, mapped, written
+from .common import joined, mapped, written
 from .components import connected_components
 
 LEAST_ID = -(2**63)
-CELL = 1.6  # width of a cell and half-width of a window, in standard deviations of a random projection and of a true pair's difference
+CELL = 1.6  # width of a cell, in standard deviations of a random projection
 COUNTED = 32  # projections whose windows are counted
+STEPS = 25  # of a counted projection to a standard deviation; a projection is kept as one byte
 
 
 class Plan:
@@ -26,8 +27,8 @@ class Plan:
 
     def __init__(self, dim: int, n: int, least: float, recall: float, seed: int = 5, block: int = 16):
         rng = np.random.default_rng(seed + dim)
-        spread = 1 / math.sqrt(dim)
-        self.width, self.window = CELL * spread, 2.5 * spread * math.sqrt(2 - 2 * least)
+        self.spread = 1 / math.sqrt(dim)
+        self.width, self.window = CELL * self.spread, math.ceil(2.5 * STEPS * math.sqrt(2 - 2 * least)) + 1
         # chance that two unrelated vectors share a cell on one projection decides how many are sorted together
         z = rng.standard_normal(200_000) * math.sqrt(2)
         apart = float(np.clip(1 - np.abs(z) / CELL, 0, None).mean())
@@ -40,7 +41,7 @@ class Plan:
         else:  # on a line, vectors have the same direction or the opposite one
             b = a
         self.count = self._unit(rng.standard_normal((COUNTED, dim)))
-        met = (np.abs(a @ self.count.T - b @ self.count.T) <= self.window).sum(1)
+        met = (np.abs(self.places(a).astype(np.int16) - self.places(b)) <= self.window).sum(1)
         self.least_met = int(np.quantile(met, 0.002))
         orders, missed = [], np.ones(len(a), dtype=bool)
         while (missed.mean() > 1 - recall and len(orders) < 256) or not orders:
@@ -53,6 +54,10 @@ class Plan:
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
+    def places(self, unit: np.ndarray) -> np.ndarray:
+        """Where each vector lies on each counted projection, in steps."""
+        return np.clip(np.rint(unit @ self.count.T * (STEPS / self.spread)), -127, 127).astype(np.int8)
+
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """A hash of each vector's cell in each order."""
         out = np.empty((len(unit), len(self.orders)), dtype=np.int64)
@@ -67,29 +72,32 @@ class Plan:
 
 
 def _units(values: np.ndarray) -> np.ndarray:
+    values = values.astype(np.float64)
     scaled = values / np.abs(values).max(axis=1, keepdims=True)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(-1, width)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of a matrix."""
+    size = rows.shape[1] * rows.itemsize
+    offsets = np.arange(0, size * (len(rows) + 1), size, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
 
+def _project(plan: Plan, dim: int):
+    """Each vector's places on the counted projections and its cell in each order."""
 
-def _to_cells(plan: Plan, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = plan.cells(_units(_matrix(batch.column("embedding"), dim)))
-            n, k = cells.shape
-            for a in range(0, n, 1000):
-                part = cells[a : a + 1000]
-                m = len(part)
-                every = pa.array(np.repeat(np.arange(m), k))
-                rows = batch.slice(a, m)
-                own = pa.FixedSizeListArray.from_arrays(pa.array(part.ravel() & 0x7FFFFFFF, pa.int64()).cast(pa.int32()), k).cast(pa.list_(pa.int32()))
-                arrays = [rows.column("id").take(every), rows.column("many").take(every), rows.column("embedding").take(every), pa.array(np.tile(np.arange(k, dtype=np.int32), m)), pa.array(part.ravel()), own.take(every)]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "many", "embedding", "turn", "cell", "cells"])
+            if batch.num_rows:
+                unit = _units(_matrix(batch.column("embedding"), dim))
+                cells = plan.cells(unit)
+                lists = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("many"), batch.column("embedding"), _binary(plan.places(unit)), lists], ["id", "many", "embedding", "places", "cells"])
 
     return run
 
@@ -104,47 +112,98 @@ def _pairs_within(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def _count_and_verify(plan: Plan, dim: int, least: float, most_pairs: int = 400_000):
-    """Counts window collisions of the pairs in each block, verifies what passes, and gives each vector's links and a star of its linked set."""
+def _met(plan: Plan, frame: dict, most_pairs: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a block that lie in each other's window on enough of the counted projections, some blocks or rows at a time."""
+    at, group, side, square = np.ascontiguousarray(frame["places"].T), frame["group"], frame["side"], frame["square"]
+    ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+    starts = np.append(0, ends[:-1])
+    sizes = (ends - starts).astype(np.int64)
+    work = (sizes * (sizes - 1) // 2).cumsum()
+
+    def check(i, j):
+        keep = (square[i] == 1) | (side[i] != side[j])
+        i, j = i[keep], j[keep]
+        missed = np.zeros(len(i), dtype=np.int16)
+        for k, c in enumerate(at, 1):
+            missed += np.abs(c[i].astype(np.int16) - c[j]) > plan.window
+            if k % 8 == 0:  # what can't reach the count any more goes
+                keep = missed <= len(at) - plan.least_met
+                i, j, missed = i[keep], j[keep], missed[keep]
+        return i, j
+
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + most_pairs, "right")))
+        lo, hi = starts[a], ends[b - 1]
+        if b == a + 1 and sizes[a] > 900:
+            step = max(1, most_pairs // sizes[a])
+            for r in range(lo, hi, step):
+                i = np.repeat(np.arange(r, min(r + step, hi)), hi - lo)
+                j = np.tile(np.arange(lo, hi), len(i) // (hi - lo))
+                yield check(i[i < j], j[i < j])
+        else:
+            i, j = _pairs_within(group[lo:hi])
+            yield check(i + lo, j + lo)
+        a = b
+
+
+def _whole_groups(read, work):
+    """work() on tables of whole groups, rows coming sorted by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 4000:
+                continue
+            table = pa.Table.from_batches(held)
+            group = table["group"].to_numpy()
+            last = int(np.flatnonzero(group == group[-1])[0])
+            if last:
+                yield work(read(table.slice(0, last).combine_chunks()))
+                held = table.slice(last).to_batches()
+        if held:
+            yield work(read(pa.Table.from_batches(held).combine_chunks()))
+
+    return run
+
+
+def _read(table: pa.Table) -> dict:
+    out = {c: table[c].to_numpy() for c in ("id", "group", "side", "square")}
+    return out | {"places": np.frombuffer(b"".join(table["places"].to_pylist()), dtype=np.int8).reshape(-1, COUNTED)}
 
-    def links(frame: dict) -> pa.RecordBatch:
-        unit, turn, own, ids, many = _units(frame["embedding"]), frame["turn"], frame["cells"], frame["id"], frame["many"]
-        at = unit @ plan.count.T
-        n, side = len(ids), frame["side"]
-        label, total = np.arange(n), np.zeros(n, dtype=np.int64)
-        ends = np.append(np.flatnonzero(np.diff(frame["group"])) + 1, n)
-        starts = np.append(0, ends[:-1])
-        found = []
 
-        def check(i, j):
-            keep = (frame["square"][i] == 1) | (side[i] != side[j])
-            i, j = i[keep], j[keep]
+def _candidates(plan: Plan):
+    """The rows of each block that collide often enough with another of its rows."""
+
+    def work(frame: dict) -> pa.RecordBatch:
+        hit = np.zeros(len(frame["id"]), dtype=bool)
+        for i, j in _met(plan, frame):
+            hit[i] = hit[j] = True
+        at = np.flatnonzero(hit)
+        return pa.RecordBatch.from_arrays([pa.array(frame[c][at]) for c in ("id", "turn", "group", "side", "square")], ["id", "turn", "group", "side", "square"])
+
+    return _whole_groups(lambda table: _read(table) | {"turn": table["turn"].to_numpy()}, work)
+
+
+def _verify(plan: Plan, dim: int, least: float):
+    """Verifies the pairs that collide often enough, and gives each vector's links and a star of its linked set."""
+
+    def read(table: pa.Table) -> dict:
+        one = lambda c, width: _matrix(table[c].combine_chunks(), width)
+        return _read(table) | {"many": table["many"].to_numpy(), "turn": table["turn"].to_numpy(), "unit": _units(one("embedding", dim)), "cells": one("cells", len(plan.orders))}
+
+    def work(frame: dict) -> pa.RecordBatch:
+        unit, turn, own, ids, many = (frame[c] for c in ("unit", "turn", "cells", "id", "many"))
+        label, total, found = np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64), []
+        for i, j in _met(plan, frame):
             # a pair belongs to the first order that brings it together
             new = ~((own[i] == own[j]) & (np.arange(own.shape[1]) < turn[i][:, None])).any(1)
             i, j = i[new], j[new]
-            met = np.zeros(len(i), dtype=np.int16)
-            for c in at.T:
-                met += np.abs(c[i] - c[j]) <= plan.window
-            i, j = i[met >= plan.least_met], j[met >= plan.least_met]
             good = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
             found.append((i[good], j[good]))
-
-        a = 0
-        sizes = (ends - starts).astype(np.int64)
-        work = (sizes * (sizes - 1) // 2).cumsum()
-        while a < len(ends):  # several small blocks at a time, or rows of a large one
-            b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + most_pairs, "right")))
-            lo, hi = starts[a], ends[b - 1]
-            if b == a + 1 and sizes[a] > 900:
-                step = max(1, most_pairs // sizes[a])
-                for r in range(lo, hi, step):
-                    i = np.repeat(np.arange(r, min(r + step, hi)), hi - lo)
-                    j = np.tile(np.arange(lo, hi), len(i) // (hi - lo))
-                    check(i[i < j], j[i < j])
-            else:
-                i, j = _pairs_within(frame["group"][lo:hi])
-                check(i + lo, j + lo)
-            a = b
         i, j = (np.concatenate([f[k] for f in found]) if found else np.empty(0, dtype=np.int64) for k in (0, 1))
         np.add.at(total, i, many[j])
         np.add.at(total, j, many[i])
@@ -158,71 +217,58 @@ def _count_and_verify(plan: Plan, dim: int, least: float, most_pairs: int = 400_
         some = np.flatnonzero(total)
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some]), pa.array(ids[label[some]])], ["id", "links", "root"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def frame(table: pa.Table) -> dict:
-            one = table.combine_chunks()
-            out = {c: one[c].to_numpy() for c in ("id", "many", "turn", "side", "square", "group")}
-            width = len(plan.orders)
-            return out | {"embedding": _matrix(one["embedding"].combine_chunks(), dim), "cells": np.asarray(one["cells"].combine_chunks().flatten()).reshape(-1, width)}
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 4000:
-                continue
-            table = pa.Table.from_batches(held)
-            group = table["group"].to_numpy()
-            last = int(np.flatnonzero(group == group[-1])[0])
-            if last:
-                yield links(frame(table.slice(0, last)))
-                held = table.slice(last).to_batches()
-        if held:
-            yield links(frame(pa.Table.from_batches(held)))
-
-    return run
+    return _whole_groups(read, work)
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.97, block: int = 1024) -> DataFrame:
     """Links between vectors (vec_id, embedding) of cosine least or more, in double precision, and their components.
 
     Equal vectors are one class. One-dimensional projections are sorted some at a time: vectors in the same cells of one
-    such order form a block. A single order's windows would hold a fifth of all pairs; the number sorted together grows with the
-    logarithm of the rows, so blocks stay small. Within a block, windows of 32 further projections centred on each vector are counted,
-    pairs that collide often enough are verified exactly, and a pair met in several orders belongs to the first. The number of
-    orders and the least count are calibrated on simulated pairs at the threshold. A block over its limit is divided into
-    a grid of squares, each one task's work; no pair leaves a task, only link counts and spanning stars.
+    such order form a block. A single projection's windows would hold a fifth of all pairs or more, so their collisions grow with the square of
+    the rows; the number sorted together grows with the logarithm of the rows, so blocks stay small. Within a block, collisions in the windows of 32 further
+    projections, centred on each vector, are counted; a projection takes one byte a vector, so what is shuffled for an order is an id, a
+    cell and 32 bytes. Only vectors that collide often enough with another of the block are fetched; their pairs are verified exactly, and a pair met
+    in several orders belongs to the first. The number of orders and the least count are calibrated on simulated pairs at the threshold. A block over its
+    limit is divided into a grid of squares, each one task's work; no pair leaves a task, only link counts and spanning stars.
 
     Returns vec_id, n_links, component_id, kept. Vectors that are null, empty, zero or hold null or non-finite parts link
     with nothing; vectors of different lengths never link; repeated rows are copies that link with each other; an empty table gives no rows;
     other columns are ignored.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = dict(vectors.dtypes)["embedding"]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     v = v.withColumn("ident", F.coalesce("vec_id", F.lit(LEAST_ID))).withColumn("key", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("embedding")))
     rows = written(v.select("vec_id", "ident", "key"), "vector-rows")
     classes = v.filter("key IS NOT NULL").groupBy("key").agg(F.min("ident").alias("id"), F.count("*").alias("many"), F.first("embedding").alias("embedding"))
     classes = written(classes.withColumn("dim", F.size("embedding")), "vector-classes")
-    found = spark.createDataFrame([], "id long, links long, root long")
+    found = []
     for dim, n in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         plan = Plan(dim, n, least, recall)
-        cells = mapped(classes.filter(F.col("dim") == dim).select("id", "many", "embedding"), _to_cells(plan, dim), "id long, many long, embedding array<double>, turn int, cell long, cells array<int>")
-        large = cells.groupBy("turn", "cell").count().filter(F.col("count") > block).select("turn", "cell", F.ceil(F.col("count") / block).cast("int").alias("split"))
-        cells = joined_small(cells, written(large, "vector-blocks"), ["turn", "cell"], "left")
+        own = classes.filter(F.col("dim") == dim).select("id", "many", "embedding")
+        own = written(mapped(own, _project(plan, dim), f"id long, many long, embedding {kind}, places binary, cells array<long>"), "vector-projected")
+        cells = own.select("id", "places", F.posexplode("cells").alias("turn", "cell"))
+        large = cells.groupBy("turn", "cell").agg(F.count("*").alias("rows")).filter(F.col("rows") > block)
+        large = large.select("turn", "cell", F.ceil(F.col("rows") / block).cast("int").alias("split"), "rows")
+        cells = joined(cells, written(large, "vector-large"), ["turn", "cell"], "left", rows="rows")
         split = F.coalesce("split", F.lit(1))
         cells = cells.withColumn("side", F.pmod(F.xxhash64("id", F.lit(3)), split).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
         square = F.struct("turn", "cell", F.least("side", "other"), F.greatest("side", "other"))
-        cells = cells.select("id", "many", "embedding", "turn", "cells", "side", F.xxhash64(square).alias("group"), (F.least("side", "other") == F.greatest("side", "other")).cast("int").alias("square"))
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(plan.orders) // 100_000))
-        dealt = cells.repartition(parts, "group").sortWithinPartitions("group")
-        found = found.union(mapped(dealt, _count_and_verify(plan, dim, least), "id long, links long, root long"))
-    found = written(found, "vector-links")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    sets = connected_components(found.filter("id <> root"), "id", "root").select(F.col("node").alias("id"), "component")
+        cells = cells.select("id", "places", "turn", "side", F.xxhash64(square).alias("group"), (F.least("side", "other") == F.greatest("side", "other")).cast("int").alias("square"))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(plan.orders) // 500_000))
+        dealt = lambda df, parts=parts: df.repartition(parts, "group").sortWithinPartitions("group")
+        met = written(mapped(dealt(cells), _candidates(plan), "id long, turn int, group long, side int, square int"), "vector-met")
+        both = met.join(own, "id")  # an id meets once in each order and square at most
+        found.append(written(mapped(dealt(both), _verify(plan, dim, least), "id long, links long, root long"), "vector-links"))
+    every = spark.createDataFrame([], "id long, links long, root long")
+    for part in found:
+        every = every.union(part)
+    links = every.groupBy("id").agg(F.sum("links").alias("links"))
+    sets = connected_components(every.filter("id <> root"), "id", "root").select(F.col("node").alias("id"), "component")
     known = classes.select("key", "id", "many").join(links, "id", "left").join(sets, "id", "left")
-    known = known.select("key", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = rows.join(known, "key", "left")
+    known = known.select("key", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
+    out = joined(rows, written(known, "vector-known"), "key", "left", rows="many")
     component = F.coalesce("component", "ident")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(component != LEAST_ID, component).alias("component_id"), F.col("ident").eqNullSafe(component).alias("kept"))
