@@ -135,14 +135,17 @@ def _bytes_of(df: DataFrame) -> Column:
     return out.cast("long")
 
 
-def joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: str | None = None, sent: int = SENT) -> DataFrame:
-    """big join small (inner or left), small having one row for each key: sent to every task if it is measured to take at most sent bytes.
+def joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: str | None = None, sent: int = SENT, at_most: int | None = None) -> DataFrame:
+    """big join small (inner or left), small having one row for each key: sent to every task if it takes at most sent bytes, as
+    measured, or as at_most, a proven bound on the rows of a small without texts or arrays, tells at once.
 
     Otherwise both are shuffled. rows names a column of small that tells how many rows of big have that key: keys with so
     many that only a bounded number can exist are sent to every task all the same, and only the others are shuffled,
     so no key's rows meet in one task. Every row of big comes out as a plain join would give it.
     """
     on = [on] if isinstance(on, str) else on
+    if at_most is not None and at_most * (32 + 8 * len(small.columns)) <= sent:
+        return big.join(F.broadcast(small), on, how)
     size = _bytes_of(small)
     found = small.agg(F.sum(size), F.max(size), *([F.sum(rows)] if rows else [])).first()
     if (found[0] or 0) <= sent:

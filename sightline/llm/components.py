@@ -45,15 +45,24 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in ties], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """m, the smallest b, and n, the number of edges, of every a."""
-    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+def _minima(edges: DataFrame, at_most: int, sent: int) -> DataFrame:
+    """The smallest m and the number n of edges of every a; a table unless at_most rows are sure to be few enough to send."""
+    out = edges.groupBy("a").agg(F.min("m").alias("m"), F.count("*").alias("n"))
+    return out if at_most * 56 <= sent else written(out, "lowest")
+
+
+def _stars(edges: DataFrame) -> tuple[int, int]:
+    """Number of edges (a, b), b < a, and how many nodes keep them from being stars around each component's smallest node: those with two
+    smaller neighbours, or with a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("b"), F.lit(0), F.lit(1)))
+    ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
 
 
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60, sent: int = SENT) -> DataFrame:
     """node and component (its smallest reachable node) for every node with an edge to another one.
 
-    Alternating large-star and small-star steps: each node's larger neighbours, then its smaller ones, are tied to the smallest
+    Alternating large-star and small-star steps until only stars are left: each node's larger neighbours, then its smaller ones, are tied to the smallest
     it sees. Minima are combined before they are shuffled. Edges join the minima on the node: these are sent to every task while they
     take at most sent bytes; beyond that only those of hubs are, whose number their edges bound, and the rest is shuffled, so a
     node with millions of neighbours is the work of all tasks. Each step's edges are a table in the shared folder. Batches of edges are first thinned to spanning
@@ -61,22 +70,20 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60, sen
     """
     pairs = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).filter("a <> b")
     now = written(mapped(pairs, _forest, "a long, b long").distinct(), "edges")
-    sign = None
     for _ in range(rounds):
+        n, loose = _stars(now)
+        if not loose:
+            break
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = written(_least(both).withColumn("m", F.least("a", "m")), "lowest")
-        large = joined(both.filter("b > a"), lowest, "a", rows="n", sent=sent).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        lowest = _minima(both.withColumn("m", F.least("a", "b")), 2 * n, sent)
+        large = joined(both.filter("b > a"), lowest, "a", rows="n", sent=sent, at_most=2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = written(large, "edges")
-        least = written(_least(large), "lowest")
-        small = joined(large, least, "a", rows="n", sent=sent).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        least = _minima(large.withColumn("m", F.col("b")), n, sent)
+        small = joined(large, least, "a", rows="n", sent=sent, at_most=n).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = written(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
-        old, sign = sign, after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for done in (lowest, large, least, now):
-            dropped(done)
+        dropped(large)
+        dropped(now)
         now = after
-        if sign == old:
-            break
     else:
         raise RuntimeError("components did not settle")
-    # stars: every node but the smallest points to the smallest
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
