@@ -43,11 +43,6 @@ def centre_in(a: str, b: str) -> Column:
     return x.between(_c(b, "x"), _c(b, "x") + _c(b, "w")) & y.between(_c(b, "y"), _c(b, "y") + _c(b, "h"))
 
 
-def centre_distance(a: str, b: str) -> Column:
-    (ax, ay), (bx, by) = centre(a), centre(b)
-    return F.hypot(ax - bx, ay - by)
-
-
 def plausible(width: float, height: float, most: float = 0.5, least: float = 2.0) -> Column:
     """Long side within a share of the frame, sides of some pixels, and no odd aspect."""
     return (long_side() <= most * max(width, height)) & (F.least("w", "h") >= least) & (F.col("w") / F.col("h")).between(0.4, 2.5)

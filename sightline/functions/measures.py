@@ -56,19 +56,21 @@ def listed_kinds(asked: Column, known: list[str]) -> Column:
 
 
 def split_points(keys: Column, start: Column, end: Column, most: Column) -> Column:
-    """Cuts of [start, end) at sorted keys so that parts are at most most long where a key allows: from each cut the farthest key
-    within reach, else the next one. A fold over the keys."""
+    """Starts of the parts of [start, end), cut at sorted keys so that parts are at most most long: each cut is the farthest key within reach of the one before; where none is, the
+    rest stays whole. A fold over the keys."""
     inside = F.filter(keys, lambda k: (k > start) & (k < end))
-    begin = F.struct(F.array(start).alias("cuts"), F.lit(None).cast("long").alias("held"))
+    begin = F.struct(F.array(start).alias("cuts"), F.lit(None).cast("long").alias("held"), F.lit(False).alias("stuck"))
 
     def step(s, k):
-        last = F.element_at(s["cuts"], -1)
-        far = k - last > most
-        take = far & s["held"].isNotNull()
+        far = k - F.element_at(s["cuts"], -1) > most
+        take = far & s["held"].isNotNull() & ~s["stuck"]
         cuts = F.when(take, F.array_append(s["cuts"], s["held"])).otherwise(s["cuts"])
-        # a key still too far after a cut is itself the next cut
-        over = k - F.element_at(cuts, -1) > most
-        return F.struct(F.when(over, F.array_append(cuts, k)).otherwise(cuts).alias("cuts"), F.when(over, F.lit(None).cast("long")).otherwise(k).alias("held"))
+        stuck = s["stuck"] | (k - F.element_at(cuts, -1) > most)
+        return F.struct(cuts.alias("cuts"), F.when(stuck, F.lit(None).cast("long")).otherwise(k).alias("held"), stuck.alias("stuck"))
 
-    done = F.aggregate(F.concat(inside, F.array(end)), begin, step)
-    return F.filter(done["cuts"], lambda c: c < end)
+    return F.aggregate(F.concat(inside, F.array(end)), begin, step)["cuts"]
+
+
+def link(base: str, path: Column) -> Column:
+    """A URL of a path: percent-encoded but for its slashes."""
+    return F.concat(F.lit(base), F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")))

@@ -47,7 +47,9 @@ def audit_chain(lines: DataFrame, key: list[str], seq: str, prev: str, payload:
     """
     w = Window.partitionBy(*key).orderBy(seq)
     zero = F.lit("0" * 64)
-    problem = F.when(F.col(own) != F.sha2(F.concat(prev, payload), 256), F.lit("hash")).when(F.col(prev) != F.coalesce(F.lag(own).over(w), zero), F.lit("prev")).when(F.col(seq) != F.row_number().over(w) - 1, F.lit("seq"))
+    before = F.when(F.row_number().over(w) == 1, zero).otherwise(F.lag(own).over(w))
+    differ = lambda a, b: ~a.eqNullSafe(b) | a.isNull()  # noqa: E731  what is missing is wrong
+    problem = F.when(differ(F.col(own), F.sha2(F.concat(prev, payload), 256)), F.lit("hash")).when(differ(F.col(prev), before), F.lit("prev")).when(differ(F.col(seq), F.row_number().over(w) - 1), F.lit("seq"))
     rows = lines.withColumn("_problem", problem)
     return rows.groupBy(*key).agg(F.count("*").alias("checked"), F.min_by("_problem", F.when(F.col("_problem").isNotNull(), F.col(seq))).alias("problem"), F.count("_problem").alias("_n")).select(*key, (F.col("_n") == 0).alias("ok"), "checked", "problem")
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import centre, long_side, overlap, renamed
+
 NUMBERS = 1 << 16  # of the vectors in one block
 BINS = 1 << 15  # of scores, to a unit
 
@@ -28,32 +30,24 @@ def evenly(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.filter((F.col("_s") <= n) | ((k < n) & (F.floor(k * F.col("_s") / n) == F.col("_p")))).drop("_p", "_s")
 
 
-def pairs(df: DataFrame, row: str, identity: str, vector: str, bucket: Column, cap: int = 40, numbers: int = NUMBERS) -> DataFrame:
-    """Genuine pairs (one identity) of a capped sample of each identity, and all impostor pairs (different identities, one bucket).
+def pairs(df: DataFrame, row: str, identity: str, vector: str, frame: str, cap: int = 40, apart: float = 1.5) -> DataFrame:
+    """a, b, kind, score and the smaller and larger long side of genuine pairs (one identity, different frames) of a capped sample of each identity, and of all impostor
+    pairs (different identities of one frame, not overlapping, centres apart sides or more from each other). df: row, identity, vector, frame, x, y, w, h.
 
-    Genuine pairs are an equi-join on the identity, where the cap bounds each side. Impostor pairs come from all rows of a bucket, in squares of
-    bounded size, each one matrix product; rows without a whole vector form none.
+    Genuine pairs are an equi-join on the identity, where the cap bounds each side; impostor pairs one on the frame, which holds as many boxes as a picture.
     """
-    few = evenly(df, identity, row, cap)
-    a, b = (few.select(F.col(row).alias(x), F.col(identity).alias(f"_i{x}"), F.col(vector).alias(f"_v{x}")) for x in "ab")
-    genuine = a.join(b, (F.col("_ia") == F.col("_ib")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit("genuine").alias("kind"), cosine("_va", "_vb").alias("score"))
-
-    def square(table: pa.Table) -> pa.Table:
-        ids, who, at = table.column(row).to_numpy(), table.column(identity).to_numpy(), table.schema.field(row).type
-        once = table.column("_low")[0] == table.column("_high")[0]
-        parts = [pa.table({"a": pa.array([], at), "b": pa.array([], at), "score": pa.array([], pa.float64())})]
-        for x, y, score in products(table):
-            i, j = ids[x][:, None], ids[y][None, :]
-            k, m = np.nonzero((who[x][:, None] != who[y][None, :]) & (i < j if once else i != j))
-            i, j, turned = ids[x][k], ids[y][m], ids[x][k] > ids[y][m]
-            parts.append(pa.table({"a": pa.array(np.where(turned, j, i), at), "b": pa.array(np.where(turned, i, j), at), "score": pa.array(score[k, m], pa.float64(), from_pandas=True)}))
-        return pa.concat_tables(parts)
-
-    kind = dict(df.dtypes)[row]
-    rows = df.filter(F.col(identity).isNotNull()).select(row, identity, vector, bucket.alias("_bucket"))
-    rows = squares(rows, ["_bucket"], row, vector, numbers).select("_bucket", row, identity, "_v", "_d", "_side", "_low", "_high")
-    impostor = rows.groupBy("_bucket", "_d", "_low", "_high").applyInArrow(square, f"a {kind}, b {kind}, score double").select("a", "b", F.lit("impostor").alias("kind"), "score")
-    return genuine.unionByName(impostor)
+    keep = [row, identity, vector, frame, "x", "y", "w", "h"]
+    both = lambda x: (renamed(x.select(*keep), "a_"), renamed(x.select(*keep), "b_"))
+    col = lambda side, c: F.col(f"{side}_{c}")
+    a, b = both(evenly(df, identity, row, cap))
+    genuine = a.join(b, (col("a", identity) == col("b", identity)) & (col("a", row) < col("b", row)) & (col("a", frame) != col("b", frame)))
+    a, b = both(df)
+    (ax, ay), (bx, by) = centre("a_"), centre("b_")
+    far = F.hypot(ax - bx, ay - by) >= apart * F.greatest(long_side("a_"), long_side("b_"))
+    impostor = a.join(b, (col("a", frame) == col("b", frame)) & (col("a", row) < col("b", row)) & (col("a", identity) != col("b", identity)) & (overlap("a_", "b_") <= 0) & far)
+    sides = long_side("a_"), long_side("b_")
+    pick = lambda x, kind: x.select(col("a", row).alias("a"), col("b", row).alias("b"), F.lit(kind).alias("kind"), cosine(f"a_{vector}", f"b_{vector}").alias("score"), F.least(*sides).alias("smaller"), F.greatest(*sides).alias("larger"))
+    return pick(genuine, "genuine").unionByName(pick(impostor, "impostor"))
 
 
 def exact_quantiles(scores: DataFrame, counts: dict[int, int], probabilities: list[float]) -> list[float | None]:
@@ -75,12 +69,12 @@ def exact_quantiles(scores: DataFrame, counts: dict[int, int], probabilities: li
 
 
 def calibration(scored: DataFrame, published: float) -> DataFrame:
-    """Impostor quantiles, the share of them over a published threshold, genuine quantiles, and how many genuine pairs pass p99.
+    """Impostor quantiles, the share of them at a published threshold or over, genuine quantiles, and how many genuine pairs pass p99.
 
     Impostors are counted in bins of fixed width first and then sorted only in the bins that matter, so no task holds all of them.
     """
     imp, gen = scored.filter("kind = 'impostor' AND score IS NOT NULL").select("score"), scored.filter("kind = 'genuine'")
-    bins = imp.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.max("score").alias("top"), F.count_if(F.col("score") > published).alias("over")).collect()
+    bins = imp.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.max("score").alias("top"), F.count_if(F.col("score") >= published).alias("over")).collect()
     n = sum(r["n"] for r in bins)
     median, p95, p99 = exact_quantiles(imp, {r["bin"]: r["n"] for r in bins}, [0.5, 0.95, 0.99])
     q = lambda p: F.percentile("score", F.lit(p))

@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The order statistic at place int(share * n), not interpolated."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, F.least(F.size(s), F.floor(F.size(s) * F.lit(share)).cast("int") + 1))
-
-
-def upper_median(values: Column) -> Column:
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
+def nearest_ranks(df: DataFrame, key: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Order statistics of each key at places int(share * n), the last one at most, not interpolated; a sort that can spill, no gathered list."""
+    w = Window.partitionBy(*key)
+    rows = df.filter(F.col(value).isNotNull()).select(*key, value, F.row_number().over(w.orderBy(value)).alias("_i"), F.count("*").over(w).alias("_n"))
+    place = lambda share: F.least(F.col("_n"), F.floor(F.col("_n") * F.lit(share)) + 1)
+    return rows.groupBy(*key).agg(*(F.max(F.when(F.col("_i") == place(share), F.col(value))).alias(name) for name, share in shares.items()))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -50,10 +47,6 @@ def held_for(totals: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     return totals.withColumn("held_for", F.concat_ws(",", *(F.when(test, F.lit(kind)) for kind, test in kinds.items())))
 
 
-def top_per(df: DataFrame, key: list[str], n: int, *order: Column) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
-
-
 def share_stats(df: DataFrame, key: list[str], value: str, budget: float) -> DataFrame:
     """mean, p95, max of a share, and in how many rows it is over budget."""
     v = F.col(value)

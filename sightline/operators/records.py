@@ -89,3 +89,32 @@ def mirror_plan(files: DataFrame, path: str, suffixes: list[str], out_suffix: st
     video = reduce(lambda a, b: a | b, (p.endswith(s) for s in suffixes))
     own = F.regexp_extract(p, r"([^/]*?)(\.[^./]*)?$", 1).endswith(out_suffix)
     return files.withColumn("action", F.when(own, "skip").when(video, "video").otherwise("copy"))
+
+
+def cyclic(df: DataFrame, key: list[str], order: str, lists: dict[str, list]) -> DataFrame:
+    """Values of short lists dealt to the rows of each key in order, the first list fastest."""
+    rows, turn = df.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1), 1
+    for name, values in lists.items():
+        place = F.floor(F.col("_i") / turn) % len(values) + 1
+        rows, turn = rows.withColumn(name, F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), place.cast("int"))), turn * len(values)
+    return rows.drop("_i")
+
+
+def packet_timing(packets: DataFrame, key: list[str], pts: str, duration: str) -> DataFrame:
+    """Packets of each key, how many lack a timestamp or repeat one, whether none does, and the last one's duration: its own, or where it has none the upper median
+    step between successive timestamps, 1 at least."""
+    w = Window.partitionBy(*key)
+    steps = packets.filter(F.col(pts).isNotNull()).withColumn("_step", F.lead(pts).over(w.orderBy(pts)) - F.col(pts)).filter("_step IS NOT NULL")
+    ranked = steps.select(*key, "_step", F.row_number().over(w.orderBy("_step")).alias("_i"), F.count("*").over(w).alias("_n")).filter(F.col("_i") == F.floor(F.col("_n") / 2) + 1)
+    known = F.when(F.col(pts).isNotNull(), F.struct(pts, duration))
+    out = packets.groupBy(*key).agg(F.count("*").alias("packets"), F.count_if(F.col(pts).isNull()).alias("missing"), (F.count(pts) - F.count_distinct(pts)).alias("repeated"), F.max(known)[duration].alias("_last"))
+    out = out.join(ranked.select(*key, "_step"), key, "left")
+    last = F.when((F.col("_last") > 0) | F.col("_step").isNull(), F.col("_last")).otherwise(F.col("_step"))
+    return out.select(*key, "packets", "missing", "repeated", F.greatest(last, F.lit(1)).alias("last_duration"), ((F.col("missing") == 0) & (F.col("repeated") == 0)).alias("ok"))
+
+
+def fast_spans(df: DataFrame, key: list[str], at: str, x: str, y: str, back: int, least: float) -> DataFrame:
+    """Rows whose mean speed since back rows before is least or more."""
+    w = Window.partitionBy(*key).orderBy(at)
+    gone = lambda c: F.col(c) - F.lag(c, back).over(w)
+    return df.withColumn("speed", F.hypot(gone(x), gone(y)) / gone(at)).filter(F.col("speed") >= least)

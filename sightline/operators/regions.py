@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import area, centre_in, iou, long_side, overlap, renamed
+from ..functions.geometry import centre_in, iou, long_side, renamed
 
 FRAME = ["clip_id", "frame"]
 
@@ -27,14 +27,6 @@ def without_wearer(people: DataFrame, hands: DataFrame, least: float) -> DataFra
     return out.select(*(F.col(c).alias(c[2:]) for c in out.columns))
 
 
-def protected(regions: DataFrame, zones: DataFrame, least: float) -> DataFrame:
-    """Each region with the largest share of it that one zone of the frame covers, and whether that reaches least."""
-    a, b = renamed(regions, "a_"), renamed(zones, "b_")
-    joined = a.join(b, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in FRAME] + [overlap("a_", "b_") > 0], "left")
-    share = F.when(F.col("b_event_id").isNotNull(), overlap("a_", "b_") / area("a_"))
-    return joined.groupBy(F.col("a_event_id").alias("event_id")).agg(F.coalesce(F.max(share), F.lit(0.0)).alias("share")).withColumn("zone", F.col("share") >= least)
-
-
 def run_report(linked: DataFrame, key: list[str], run: str = "run") -> DataFrame:
     """first, last, hits, largest side and last box of each run."""
     last = F.max_by(F.struct("x", "y", "w", "h"), F.struct("frame", "event_id"))

@@ -99,3 +99,77 @@ def tiles(frames: DataFrame, width: int, height: int, side: int, step: int, top:
     out = frames.withColumn("y", F.explode(starts(height))).withColumn("x", F.explode(starts(width)))
     return out.filter(F.col("y") + side > top).withColumns({"w": F.lit(side), "h": F.lit(side)})
 
+
+def confirmation(boxes: DataFrame, main: DataFrame, mirror: DataFrame, extra: list[DataFrame], third: DataFrame, least: float, unsure: tuple[float, float], mirror_agrees: float, sure: float, third_score: float, row: str = "event_id") -> DataFrame:
+    """Each box with what other views say of it: confidence, the best overlapping score of the main view, 0 where that is unsure and the mirror view doesn't
+    agree, or of an extra view that is sure; and whether a third source overlaps it. One join for all views, one aggregation."""
+    pick = lambda df, name: df.select(*FRAME, "x", "y", "w", "h", "score", F.lit(name).alias("view"))
+    views = pick(main, "main").unionByName(pick(mirror, "mirror")).unionByName(pick(third, "third"))
+    for k, df in enumerate(extra):
+        views = views.unionByName(pick(df, f"extra{k}"))
+    joined = _theta(boxes.select(*FRAME, row, "x", "y", "w", "h"), views, "left", iou("a_", "b_") >= least)
+    best = lambda name: F.coalesce(F.max(F.when(F.col("b_view") == name, F.col("b_score"))), F.lit(0.0))
+    names = ["main", "mirror", "third", *(f"extra{k}" for k in range(len(extra)))]
+    out = joined.groupBy(F.col(f"a_{row}").alias(row)).agg(*(best(n).alias(n) for n in names))
+    doubtful = (F.col("main") >= unsure[0]) & (F.col("main") < unsure[1]) & (F.col("mirror") < mirror_agrees)
+    clear = [F.when(F.col(f"extra{k}") >= sure, F.col(f"extra{k}")).otherwise(0.0) for k in range(len(extra))]
+    confidence = F.greatest(F.when(doubtful, 0.0).otherwise(F.col("main")), F.lit(0.0), *clear)
+    return out.select(row, confidence.alias("confidence"), (F.col("third") >= third_score).alias("third")).join(boxes, row)
+
+
+def spread(boxes: DataFrame, window: int, grow: float) -> DataFrame:
+    """Each box on the frames up to window before and after it too, larger about its centre by grow a step: step tells how far."""
+    out = boxes.withColumn("step", F.explode(F.sequence(F.lit(-window), F.lit(window)))).withColumn("_g", 1 + grow * F.abs("step"))
+    return out.withColumns({"frame": F.col("frame") + F.col("step"), "x": F.col("x") - F.col("w") * (F.col("_g") - 1) / 2, "y": F.col("y") - F.col("h") * (F.col("_g") - 1) / 2, "w": F.col("w") * F.col("_g"), "h": F.col("h") * F.col("_g")}).drop("_g")
+
+
+def dilated(boxes: DataFrame, by: float) -> DataFrame:
+    """Boxes grown on each side by a share of their size."""
+    return boxes.withColumns({"x": F.col("x") - by * F.col("w"), "y": F.col("y") - by * F.col("h"), "w": F.col("w") * (1 + 2 * by), "h": F.col("h") * (1 + 2 * by)})
+
+
+def oracle_boxes(rows: DataFrame, labels: list[str], floor: float, least_area: float, most: float, key: list[str], row: str) -> DataFrame:
+    """Boxes of another detector (label, score, box as x0, y0, x1, y1) of some labels, a score and an area, as x, y, w, h, suppressed."""
+    from .suppression import suppress
+
+    at = lambda k: F.col("box")[k]
+    kept = rows.filter(F.col("label").isin(labels) & (F.col("score") >= floor)).withColumns({"x": at(0), "y": at(1), "w": F.greatest(F.lit(0.0), at(2) - at(0)), "h": F.greatest(F.lit(0.0), at(3) - at(1))})
+    return suppress(kept.filter(F.col("w") * F.col("h") >= least_area), key, row, most, last_first=True)
+
+
+def sightings(boxes: DataFrame, drawn: str, marks: str, least_px: float) -> DataFrame:
+    """Boxes that a detector saw (not of the source drawn), with landmarks, of a size."""
+    return boxes.filter((F.col("source") != drawn) & F.col(marks).isNotNull() & (long_side() >= least_px))
+
+
+def with_zone(boxes: DataFrame, zones: DataFrame, least: float, row: str = "event_id") -> DataFrame:
+    """boxes with zone: whether a zone of the frame covers a share of least or more of the box."""
+    inside = _left(_theta(boxes.select(*FRAME, row, "x", "y", "w", "h"), zones, "left_semi", overlap("a_", "b_") / area("a_") >= least)).select(row, F.lit(True).alias("zone"))
+    return boxes.join(inside, row, "left").withColumn("zone", F.coalesce("zone", F.lit(False)))
+
+
+def zoned_match_report(truth: DataFrame, found: DataFrame, floors: list[float], least: float) -> DataFrame:
+    """Per floor of the truth's score: truth boxes recalled, set aside (not recalled, in a zone) and missed; found boxes in a zone, else matched
+    or unmatched; recall and precision of what no zone sets aside. Both sides carry zone. Joined once; floors are comparisons."""
+    test = iou("a_", "b_") >= least
+    hits = _theta(truth, found, "left", test).groupBy("a_event_id").agg(F.first("a_zone").alias("zone"), F.first("a_score").alias("score"), (F.count("b_event_id") > 0).alias("hit"))
+    best = _theta(found, truth, "left", test).groupBy("a_event_id").agg(F.first("a_zone").alias("zone"), F.max("b_score").alias("best"))
+    steps = F.array(*map(F.lit, floors))
+    t = hits.withColumn("floor", F.explode(F.filter(steps, lambda f: F.col("score") >= f))).groupBy("floor").agg(F.count_if("hit").alias("recalled"), F.count_if(~F.col("hit") & F.col("zone")).alias("set_aside"), F.count_if(~F.col("hit") & ~F.col("zone")).alias("missed"))
+    hit = F.coalesce(F.col("best") >= F.col("floor"), F.lit(False))
+    f = best.withColumn("floor", F.explode(steps)).groupBy("floor").agg(F.count_if("zone").alias("in_zone"), F.count_if(~F.col("zone") & hit).alias("matched"), F.count_if(~F.col("zone") & ~hit).alias("unmatched"))
+    share = lambda a, b: F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0))
+    return t.join(f, "floor").select("floor", "recalled", "set_aside", "missed", "in_zone", "matched", "unmatched", share("recalled", "missed").alias("recall"), share("matched", "unmatched").alias("precision"))
+
+
+def covered_by_union(boxes: DataFrame, zones: DataFrame, key: list[str], row: str) -> DataFrame:
+    """Each box with the share of it that the zones of its key cover together."""
+    from ..functions.rules import union_area
+
+    a, b = renamed(boxes.select(*key, row, "x", "y", "w", "h"), "a_"), renamed(zones.select(*key, "x", "y", "w", "h"), "b_")
+    joined = a.join(b, [F.col(f"a_{k}") == F.col(f"b_{k}") for k in key] + [overlap("a_", "b_") > 0], "left")
+    end = lambda p, c, d: F.col(f"{p}{c}") + F.col(f"{p}{d}")
+    x, y = (F.greatest(f"a_{c}", f"b_{c}") for c in "xy")
+    part = F.struct(x.alias("x"), y.alias("y"), (F.least(end("a_", "x", "w"), end("b_", "x", "w")) - x).alias("w"), (F.least(end("a_", "y", "h"), end("b_", "y", "h")) - y).alias("h"))
+    parts = joined.groupBy(F.col(f"a_{row}").alias(row), area("a_").alias("area")).agg(F.collect_list(F.when(F.col("b_x").isNotNull(), part)).alias("parts"))
+    return parts.select(row, (union_area(F.col("parts")) / F.col("area")).alias("share"))

@@ -40,7 +40,10 @@ def gravity_check(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(g, 9).alias("gravity"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1000 THEN printf('%d B', n_chars) ELSE printf('%.1f kB', round_even(n_chars / 100, 0) / 10) END AS size FROM documents WHERE n_chars < 1000000")
+SIZES = " ".join(f"WHEN n < {1000 * unit} THEN printf('%.1f {name}', round_even(n / {unit // 10}, 0) / 10)" for name, unit in (("kB", 10**3), ("MB", 10**6), ("GB", 10**9)))
+
+
+@query(f"SELECT doc_id, CASE WHEN n IS NULL THEN NULL WHEN n < 1000 THEN printf('%d B', n) {SIZES} ELSE printf('%.1f TB', round_even(n / 100000000000, 0) / 10) END AS size FROM (SELECT doc_id, n_chars AS n FROM documents)")
 def human_sizes(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", measures.human_size(F.col("n_chars")).alias("size"))
 
@@ -53,8 +56,11 @@ def kinds_listed(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", measures.listed_kinds(asked, ["face", "text", "plate"]).alias("kinds"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 20 AS k, epoch_us(ts) // 60000000 - 28401120 AS pos FROM events), g AS (SELECT k, min(pos) AS a, max(pos) + 1 AS z FROM e GROUP BY k),
+c AS (SELECT k, a AS start, z FROM g UNION ALL SELECT k, cut, z FROM (SELECT c.k, c.z, (SELECT max(pos) FROM e WHERE e.k = c.k AND e.pos > c.start AND e.pos <= c.start + 300) AS cut FROM c WHERE c.k % 4 > 0 AND c.z - c.start > 300) WHERE cut IS NOT NULL AND cut < z) SELECT k, start FROM c""")
 def split_segments(spark, sf_dir):
+    """Every fourth segment is a copy, which is never cut."""
     e = events(spark, sf_dir).select((F.col("user_id") % 20).alias("k"), F.floor(F.col("us") / 60_000_000 - 28401120).alias("at"))
     keys = e.groupBy("k").agg(F.array_sort(F.collect_set("at")).alias("keys"), F.min("at").alias("a"), (F.max("at") + 1).alias("z"))
-    return keys.select("k", F.explode(measures.split_points(F.col("keys"), F.col("a"), F.col("z"), F.lit(300))).alias("start"))
+    cuts = measures.split_points(F.col("keys"), F.col("a"), F.col("z"), F.lit(300))
+    return keys.select("k", F.explode(F.when(F.col("k") % 4 == 0, F.array("a")).otherwise(cuts)).alias("start"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import bucket, long_side
-from ..operators import dispatch, identity, quality
+from ..operators import dispatch, evaluation, identity, quality
 from ..sources.ingest import fixed_point, manifest_of, refreshed
 from .registry import detections, events, load, query, with_detections
 
@@ -87,8 +87,7 @@ def size_bucket_recall(spark, sf_dir):
 
 @query("SELECT l_suppkey, list_sort(list(l_extendedprice))[least(count(*), (0.5 * count(*))::DOUBLE::INT64 + 1)] AS q50, list_sort(list(l_extendedprice))[least(count(*), floor(0.9::DOUBLE * count(*))::INT64 + 1)] AS q90 FROM lineitem GROUP BY l_suppkey".replace("(0.5 * count(*))::DOUBLE::INT64", "floor(0.5::DOUBLE * count(*))::INT64"))
 def nearest_rank_quantiles(spark, sf_dir):
-    v = F.col("l_extendedprice")
-    return load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(quality.nearest_rank(v, 0.5).alias("q50"), quality.nearest_rank(v, 0.9).alias("q90"))
+    return quality.nearest_ranks(load(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", {"q50": 0.5, "q90": 0.9})
 
 
 @query("WITH f AS (SELECT unnest([0.0, 0.02, 0.05, 0.08])::DOUBLE AS floor) SELECT floor, l_returnflag, count(*) AS kept FROM lineitem, f WHERE l_discount >= floor GROUP BY ALL")
@@ -145,25 +144,42 @@ def bone_cv(spark, sf_dir):
 SELECT k, m AS upper_median, max(abs(d - m)) AS worst, count(*) FILTER (abs(d - m) <= 100000) AS near FROM d JOIN m USING (k) GROUP BY k, m""")
 def clock_error(spark, sf_dir):
     d = events(spark, sf_dir).select((F.col("user_id") % 50).alias("k"), (F.col("us") % 1000003).alias("d"))
-    m = d.groupBy("k").agg(quality.upper_median(F.col("d")).alias("upper_median"))
+    m = quality.nearest_ranks(d, ["k"], "d", {"upper_median": 0.5})
     far = F.abs(F.col("d") - F.col("upper_median"))
     return d.join(m, "k").groupBy("k", "upper_median").agg(F.max(far).alias("worst"), F.count_if(far <= 100000).alias("near"))
 
 
-EVENLY = "n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p, count(*) OVER (PARTITION BY label) AS s FROM embeddings), f AS (SELECT * FROM n WHERE s <= 40 OR p IN (SELECT (k * s) // 40 FROM range(0, 40) r(k)))"
-PAIRS = f"{EVENLY}, q AS (SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.label = b.label THEN 'genuine' ELSE 'impostor' END AS kind, list_cosine_similarity(a.v, b.v) AS score FROM f a JOIN f b ON a.vec_id < b.vec_id AND (a.label = b.label OR a.vec_id % 8 = b.vec_id % 8))"
+#: Sixteen vectors make a frame; each has a box in it.
+FACES = "n AS (SELECT vec_id, label, vec_id // 16 AS frame, (vec_id * 97 % 1500)::DOUBLE AS x, (vec_id * 61 % 1200)::DOUBLE AS y, (10 + vec_id * 31 % 120)::DOUBLE AS w, (10 + vec_id * 17 % 120)::DOUBLE AS h, list_transform(embedding, lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p, count(*) OVER (PARTITION BY label) AS s FROM embeddings), f AS (SELECT * FROM n WHERE s <= 40 OR p IN (SELECT (k * s) // 40 FROM range(0, 40) r(k)))"
+MEASURED = "list_cosine_similarity(a.v, b.v) AS score, least(greatest(a.w, a.h), greatest(b.w, b.h)) AS smaller, greatest(a.w, a.h, b.w, b.h) AS larger"
+PAIRS = f"""{FACES}, q AS (SELECT a.vec_id AS a, b.vec_id AS b, 'genuine' AS kind, {MEASURED} FROM f a JOIN f b ON a.vec_id < b.vec_id AND a.label = b.label AND a.frame <> b.frame
+ UNION ALL SELECT a.vec_id, b.vec_id, 'impostor', {MEASURED} FROM n a JOIN n b ON a.vec_id < b.vec_id AND a.label <> b.label AND a.frame = b.frame
+ AND NOT (least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y)) AND sqrt((a.x + a.w / 2 - b.x - b.w / 2) ** 2 + (a.y + a.h / 2 - b.y - b.h / 2) ** 2) >= 1.5 * greatest(a.w, a.h, b.w, b.h))"""
 
 
 def _pairs(spark, sf_dir):
-    return identity.pairs(load(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", F.col("vec_id") % 8)
+    i = F.col("vec_id")
+    whole = lambda c: c.cast("double")
+    boxes = {"frame": F.floor(i / 16), "x": whole(i * 97 % 1500), "y": whole(i * 61 % 1200), "w": whole(10 + i * 31 % 120), "h": whole(10 + i * 17 % 120)}
+    return identity.pairs(load(spark, sf_dir, "embeddings").withColumns(boxes), "vec_id", "label", "embedding", "frame")
 
 
-@query(f"WITH {PAIRS} SELECT a, b, kind, round(score, 9) AS score FROM q")
+@query(f"WITH {PAIRS} SELECT a, b, kind, round(score, 9) AS score, smaller, larger FROM q")
 def cosine_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("score", F.round("score", 9))
 
 
-CALIBRATION = """SELECT count(i) AS impostors, quantile_cont(i, 0.5) AS impostor_median, quantile_cont(i, 0.95) AS impostor_p95, quantile_cont(i, 0.99) AS p99, max(i) AS impostor_max, count(*) FILTER (i > 0.363) / count(i) AS over_published,
+EDGES = [16, 24, 32, 40, 64, 96, 10**6]
+SIZE = "CASE " + " ".join(f"WHEN smaller < {hi} THEN '{lo}-{hi}'" for lo, hi in zip([0, *EDGES], EDGES[:-1], strict=False)) + " ELSE '96+' END"
+
+
+@query(f"""WITH {PAIRS}, b AS (SELECT unnest([{', '.join(f"'{lo}-{hi}'" for lo, hi in zip([0, *EDGES], EDGES[:-1], strict=False))}, '96+']) AS size), s AS (SELECT *, {SIZE} AS size, (score >= 0.1)::INT AS hit FROM q)
+SELECT b.size, count(score) FILTER (kind = 'genuine') AS genuine, avg(hit) FILTER (kind = 'genuine') AS recognised, round(median(score) FILTER (kind = 'genuine'), 9) AS median_same, count(score) FILTER (kind = 'impostor') AS impostors, avg(hit) FILTER (kind = 'impostor') AS false_match FROM b LEFT JOIN s USING (size) GROUP BY b.size""")
+def match_by_size(spark, sf_dir):
+    return evaluation.by_size(_pairs(spark, sf_dir), EDGES, F.lit(0.1)).withColumn("median_same", F.round("median_same", 9))
+
+
+CALIBRATION = """SELECT count(i) AS impostors, quantile_cont(i, 0.5) AS impostor_median, quantile_cont(i, 0.95) AS impostor_p95, quantile_cont(i, 0.99) AS p99, max(i) AS impostor_max, count(*) FILTER (i >= 0.363) / count(i) AS over_published,
  count(g) AS genuine, quantile_cont(g, 0.5) AS genuine_median, quantile_cont(g, 0.05) AS genuine_p05 FROM (SELECT CASE WHEN kind = 'impostor' THEN score END AS i, CASE WHEN kind = 'genuine' THEN score END AS g FROM q)"""
 NUMBERS = ["impostor_median", "impostor_p95", "p99", "impostor_max", "over_published", "genuine_median", "genuine_p05"]
 
@@ -173,7 +189,7 @@ def similarity_calibration(spark, sf_dir):
     return identity.calibration(_pairs(spark, sf_dir), 0.363).withColumns({n: F.round(n, 8) for n in NUMBERS})
 
 
-BEST = f"{EVENLY}, m AS (SELECT a.vec_id, a.label, coalesce(max(CASE WHEN a.vec_id <> b.vec_id THEN list_cosine_similarity(a.v, b.v) END), -1) AS best FROM n a JOIN f b ON a.label = b.label GROUP BY ALL)"
+BEST = f"{FACES}, m AS (SELECT a.vec_id, a.label, coalesce(max(CASE WHEN a.vec_id <> b.vec_id THEN list_cosine_similarity(a.v, b.v) END), -1) AS best FROM n a JOIN n b ON a.label = b.label GROUP BY ALL)"
 
 
 @query(f"WITH {BEST} SELECT vec_id, label, round(best, 9) AS best FROM m")
@@ -247,7 +263,9 @@ def manifest(spark, sf_dir):
     return refreshed(earlier, manifest_of(d))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT s_nationkey, s_name AS name, (abs(s_acctbal) * 100)::DOUBLE AS raw, trunc(abs(s_acctbal) * 100)::BIGINT AS size FROM supplier), o AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY size DESC, name) AS k FROM s),
+r AS (SELECT s_nationkey, k, name, size, 0 AS share, [size, 0, 0]::BIGINT[] AS loads FROM o WHERE k = 1 UNION ALL SELECT o.s_nationkey, o.k, o.name, o.size, list_position(r.loads, list_min(r.loads))::INT - 1, list_transform(r.loads, lambda x, i: CASE WHEN i = list_position(r.loads, list_min(r.loads)) THEN x + o.size ELSE x END) FROM r JOIN o ON o.s_nationkey = r.s_nationkey AND o.k = r.k + 1)
+SELECT s_nationkey, name, size, share FROM r""")
 def lpt_shares(spark, sf_dir):
     s = load(spark, sf_dir, "supplier").select(F.col("s_nationkey"), F.col("s_name").alias("name"), (F.abs("s_acctbal") * 100).cast("long").alias("size"))
     return dispatch.balanced_shares(s, "s_nationkey", "name", "size", 3)

@@ -46,7 +46,7 @@ def _candidates(spark, sf_dir):
 @query(STRONG + "(score >= 0.6 AND best IS NOT NULL) OR (score < 0.6 AND score >= 0.3 AND best >= 0.5 AND long_side < 80) OR (long_side >= 140 AND best IS NOT NULL)")
 def strong_candidates(spark, sf_dir):
     known = F.col("best").isNotNull()
-    rules = ((F.col("score") >= 0.6) & known) | (F.col("score").between(0.3, 0.5999999) & (F.col("best") >= 0.5) & (F.col("long_side") < 80)) | ((F.col("long_side") >= 140) & known)
+    rules = ((F.col("score") >= 0.6) & known) | ((F.col("score") >= 0.3) & (F.col("score") < 0.6) & (F.col("best") >= 0.5) & (F.col("long_side") < 80)) | ((F.col("long_side") >= 140) & known)
     return _candidates(spark, sf_dir).filter(rules).select("event_id", "score", "best")
 
 
