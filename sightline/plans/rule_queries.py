@@ -10,7 +10,10 @@ from ..functions.geometry import centre, iou, long_side, renamed
 from ..operators import hands, spatial, suppression
 from .registry import CAMERA_SQL, IOU_SQL, camera, detections, fold_sql, iou_sql, load, query, rounded, with_detections
 
-I = F.col("event_id")  # noqa: E741
+
+def ident():
+    return F.col("event_id")
+
 
 
 def det(spark, sf_dir):
@@ -24,7 +27,7 @@ def screen_cap(spark, sf_dir):
 
 @query(with_detections("SELECT event_id, CASE WHEN least(w, h) > 60 AND greatest(w, h) < 1.6 * least(w, h) AND event_id % 4 < 2 THEN 'shape' WHEN event_id * 7 % 256 > 220 THEN 'bright' WHEN event_id * 3 % 100 / 100.0::DOUBLE < 0.1 THEN 'ink' END AS rule FROM det"))
 def false_text_rules(spark, sf_dir):
-    label = rules.false_text(F.least("w", "h"), F.greatest("w", "h"), I % 4, I * 7 % 256, I * 3 % 100 / 100.0, 60, 1.6, 2, 220, 0.1)
+    label = rules.false_text(F.least("w", "h"), F.greatest("w", "h"), ident() % 4, ident() * 7 % 256, ident() * 3 % 100 / 100.0, 60, 1.6, 2, 220, 0.1)
     return det(spark, sf_dir).select("event_id", label.alias("rule"))
 
 
@@ -48,7 +51,7 @@ KINDS = "k AS (SELECT *, CASE source WHEN 'view' THEN NULL WHEN 'click' THEN 'fa
 def kinds(spark, sf_dir):
     s = F.col("source")
     kind = F.when(s == "click", "face").when(s == "purchase", "screen").when(s == "signup", "text").when(s == "error", "plate")
-    return det(spark, sf_dir).withColumns({"kind": kind, "hand": F.when(I % 7 == 0, F.col("score")), "zone": F.when(I % 11 == 0, F.col("score"))})
+    return det(spark, sf_dir).withColumns({"kind": kind, "hand": F.when(ident() % 7 == 0, F.col("score")), "zone": F.when(ident() % 11 == 0, F.col("score"))})
 
 
 @query(with_detections(f"{KINDS} SELECT event_id, hand IS NULL AND zone IS NULL AS counts FROM k WHERE coalesce(kind, 'face') = 'face'"))
@@ -137,7 +140,7 @@ SPREAD = "spread AS (SELECT clip_id, f.frame + s * d AS frame, event_id * 10 + d
 @query(with_detections(f"{SPREAD}, {fold_sql('spread', 'clip_id, frame', 'score DESC, event_id DESC', PLAIN, IOU_SQL + ' > 0.6')} SELECT clip_id, frame, b.event_id FROM u WHERE frame >= 0").replace("WITH det", "WITH RECURSIVE det"))
 def window_spread(spark, sf_dir):
     d = spatial.spread(det(spark, sf_dir).select("clip_id", "frame", "event_id", "x", "y", "w", "h", "score"), 2, 0.1)
-    d = d.withColumn("event_id", I * 10 + F.abs("step") * 2 + F.when(F.col("step") >= 0, 1).otherwise(0))
+    d = d.withColumn("event_id", ident() * 10 + F.abs("step") * 2 + F.when(F.col("step") >= 0, 1).otherwise(0))
     return suppression.suppress(d, ["clip_id", "frame"], "event_id", 0.6, last_first=True).filter("frame >= 0").select("clip_id", "frame", "event_id")
 
 
@@ -157,7 +160,7 @@ def oracle_boxes(spark, sf_dir):
 
 @query(with_detections("SELECT track_id, frame, event_id FROM det WHERE source <> 'signup' AND event_id % 3 = 0 AND greatest(w, h) >= 64"))
 def track_sightings(spark, sf_dir):
-    d = det(spark, sf_dir).withColumn("marks", F.when(I % 3 == 0, F.lit(1)))
+    d = det(spark, sf_dir).withColumn("marks", F.when(ident() % 3 == 0, F.lit(1)))
     return spatial.sightings(d, "signup", "marks", 64).select("track_id", "frame", "event_id")
 
 
@@ -181,8 +184,8 @@ PROTECT = "p AS (SELECT *, [event_id, event_id + 1] AS live, [event_id + 2] AS r
 
 @query(with_detections(f"{KINDS}, {PROTECT} SELECT event_id, list_sum(CASE WHEN kind IN ('text', 'plate', 'screen') THEN list_concat(live, remembered) ELSE hands END)::BIGINT AS zones FROM p"))
 def zones_by_kind(spark, sf_dir):
-    zone = rules.protects(F.col("kind"), F.array(I, I + 1), F.array(I + 2), F.array(I + 3), ["text", "plate", "screen"], True)
-    return kinds(spark, sf_dir).select("event_id", F.aggregate(F.coalesce(zone, F.array(I + 3)), F.lit(0).cast("long"), lambda s, v: s + v).alias("zones"))
+    zone = rules.protects(F.col("kind"), F.array(ident(), ident() + 1), F.array(ident() + 2), F.array(ident() + 3), ["text", "plate", "screen"], True)
+    return kinds(spark, sf_dir).select("event_id", F.aggregate(F.coalesce(zone, F.array(ident() + 3)), F.lit(0).cast("long"), lambda s, v: s + v).alias("zones"))
 
 
 RECT = """r AS (SELECT event_id, clip_id, frame // 36 AS frame, source, x + w / 2 AS cx, y + h / 2 AS cy, w, h, x + w / 4 AS wx, y + h AS wy, x + w / 2 + event_id % 7 * 9 - 27 AS kx, y + event_id % 5 * 7 AS ky FROM det),
@@ -193,7 +196,7 @@ q AS (SELECT event_id, clip_id, frame, source, list_transform([{'p': -1, 'q': -1
 
 def _rects(spark, sf_dir):
     (cx, cy), x, y, w, h = centre(), *map(F.col, "xywh")
-    quad = rules.hand_rect(cx, cy, w, h, (x + w / 4, y + h), (cx + I % 7 * 9 - 27, y + I % 5 * 7))
+    quad = rules.hand_rect(cx, cy, w, h, (x + w / 4, y + h), (cx + ident() % 7 * 9 - 27, y + ident() % 5 * 7))
     return views(spark, sf_dir).select("event_id", "clip_id", "frame", "source", quad.alias("quad"))
 
 
@@ -226,7 +229,7 @@ SELECT event_id, round(CASE WHEN m IS NULL THEN x + w / 2 ELSE (x + w / 2 + list
 def face_ellipses(spark, sf_dir):
     x, y, w, h = map(F.col, "xywh")
     p = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
-    marks = F.when(I % 3 > 0, F.array(p(x + w / 3 + I % 40 - 20, y + h / 3), p(x + w * 2 / 3, y + h / 3 + I % 9), p(x + w / 2, y + h / 2), p(x + w / 3, y + h * 3 / 4), p(x + w * 2 / 3, y + h * 3 / 4)))
+    marks = F.when(ident() % 3 > 0, F.array(p(x + w / 3 + ident() % 40 - 20, y + h / 3), p(x + w * 2 / 3, y + h / 3 + ident() % 9), p(x + w / 2, y + h / 2), p(x + w / 3, y + h * 3 / 4), p(x + w * 2 / 3, y + h * 3 / 4)))
     e = det(spark, sf_dir).withColumn("marks", marks).select("event_id", rules.face_ellipse((x, y, w, h), F.col("marks"), 0.9, 1.1, 0.2).alias("e")).select("event_id", "e.*")
     return rounded(e, 8, "cx", "cy", "a", "b", "angle")
 
@@ -250,7 +253,7 @@ def fisheye_rays(spark, sf_dir):
 
 @query(with_detections("SELECT event_id, round(CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN 0 ELSE score * exp(-(((event_id % 50) / 8.0::DOUBLE) ** 2)) END, 12) AS weight FROM det"))
 def stereo_weights(spark, sf_dir):
-    row, sure = F.when(I % 17 != 0, (I % 50).cast("double")), F.when(I % 13 == 0, F.lit(float("nan"))).otherwise(F.col("score"))
+    row, sure = F.when(ident() % 17 != 0, (ident() % 50).cast("double")), F.when(ident() % 13 == 0, F.lit(float("nan"))).otherwise(F.col("score"))
     return det(spark, sf_dir).select("event_id", F.round(rules.stereo_weight(row, sure), 12).alias("weight"))
 
 

@@ -11,14 +11,17 @@ from ..operators import evaluation, hands, intervals
 from .registry import CAMERA_SQL, camera, detections, events, load, query, rounded, with_detections
 from .rule_queries import KINDS, UNION, kinds
 
-I = F.col("event_id")  # noqa: E741
+
+def ident():
+    return F.col("event_id")
+
 SIDE = "greatest(w, h)"
 
 
 @query(with_detections(f"{KINDS} SELECT clip_id, coalesce(kind, 'face') AS kind, event_id FROM k QUALIFY row_number() OVER (PARTITION BY clip_id, coalesce(kind, 'face') ORDER BY frame, {SIDE} DESC, event_id) <= 20"))
 def residual_rows(spark, sf_dir):
     r = kinds(spark, sf_dir).withColumn("kind", F.coalesce("kind", F.lit("face")))
-    return evaluation.top_per(r, ["clip_id", "kind"], 20, F.col("frame"), -long_side(), I).select("clip_id", "kind", "event_id")
+    return evaluation.top_per(r, ["clip_id", "kind"], 20, F.col("frame"), -long_side(), ident()).select("clip_id", "kind", "event_id")
 
 
 @query(with_detections(f"""{KINDS}, f AS (SELECT * FROM k WHERE coalesce(kind, 'face') = 'face' AND hand IS NULL AND zone IS NULL)
@@ -127,7 +130,7 @@ LEAKS = "v AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN 'blind' WHEN event_id
 
 
 def _verdicts(spark, sf_dir):
-    v = F.when(I % 10 == 0, "blind").when(I % 10 < 4, "unidentifiable").when(F.col("score") >= 0.6, "leak").otherwise("covered")
+    v = F.when(ident() % 10 == 0, "blind").when(ident() % 10 < 4, "unidentifiable").when(F.col("score") >= 0.6, "leak").otherwise("covered")
     return detections(spark, sf_dir).withColumns({"verdict": v, "size": F.when(long_side() >= 100, "large").otherwise("small"), "floor": F.col("score") / 2})
 
 
@@ -178,7 +181,7 @@ SEEKS = "s AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'opencv' ELSE 'pyav' END A
 SELECT * REPLACE (round(converted_mean, 6) AS converted_mean, round(source_mean, 6) AS source_mean), round(converted_mean / source_mean, 9) AS ratio, bool_and(converted_exact = converted_total AND source_exact = source_total AND converted_mean / source_mean <= 2) OVER () AS passed FROM a""")
 def random_access(spark, sf_dir):
     e = load(spark, sf_dir, "events")
-    s = e.select(F.when(I % 2 == 0, "opencv").otherwise("pyav").alias("lib"), F.when(I % 3 == 0, "source").otherwise("converted").alias("file"), ((I % 97 != 5) | (I % 2 == 0)).alias("exact"), F.col("value").alias("ms"))
+    s = e.select(F.when(ident() % 2 == 0, "opencv").otherwise("pyav").alias("lib"), F.when(ident() % 3 == 0, "source").otherwise("converted").alias("file"), ((ident() % 97 != 5) | (ident() % 2 == 0)).alias("exact"), F.col("value").alias("ms"))
     return rounded(rounded(evaluation.random_access(s, 2.0), 6, "converted_mean", "source_mean"), 9, "ratio")
 
 
@@ -196,7 +199,7 @@ i AS (SELECT f.*, EXISTS (SELECT 1 FROM r WHERE r.clip_id = f.clip_id AND f.fram
 SELECT clip_id, count(DISTINCT frame) AS checked, sum(flat)::BIGINT AS flat, count(hands) AS hands, count(in_zone) AS in_zone, count(*) FILTER (hands IS NULL AND in_zone IS NULL) AS "left" FROM m GROUP BY clip_id"""))
 def merged_checks(spark, sf_dir):
     d = detections(spark, sf_dir)
-    f = d.select("clip_id", "frame", (F.col("score") < 0.1).cast("int").alias("flat"), F.when(I % 7 == 0, 1).alias("hands"), F.when(I % 11 == 0, 1).alias("in_zone"))
+    f = d.select("clip_id", "frame", (F.col("score") < 0.1).cast("int").alias("flat"), F.when(ident() % 7 == 0, 1).alias("hands"), F.when(ident() % 11 == 0, 1).alias("in_zone"))
     r = d.filter("score > 0.98").select("clip_id", (F.col("frame") - 5).alias("start"), (F.col("frame") + 6).alias("end"))
     inside = intervals.dilate(d.filter("score > 0.98").select("clip_id", "frame"), ["clip_id"], "frame", 5)
     again = f.join(inside, ["clip_id", "frame"], "left_semi").withColumns({"flat": F.lit(0), "hands": F.lit(None).cast("int")})
@@ -212,7 +215,7 @@ def second_chance_seeds(spark, sf_dir):
 @query(with_detections("""h AS (SELECT clip_id, frame, event_id % 2 = 0 AS mine, w * h AS area, score * w * h AS hit FROM det WHERE source = 'signup'), f AS (SELECT clip_id, frame, sum(hit) / nullif(sum(area), 0) AS share FROM h GROUP BY ALL)
 SELECT h.clip_id, round(sum(hit) FILTER (mine) / nullif(sum(area) FILTER (mine), 0), 9) AS wearer, round(sum(hit) FILTER (NOT mine) / nullif(sum(area) FILTER (NOT mine), 0), 9) AS other, any_value(w.frame) AS worst_frame, round(any_value(w.share), 9) AS worst FROM h JOIN (SELECT clip_id, arg_max(frame, (share, -frame)) AS frame, max(share) AS share FROM f GROUP BY clip_id) w USING (clip_id) GROUP BY h.clip_id"""))
 def hand_damage(spark, sf_dir):
-    h = detections(spark, sf_dir).filter("source = 'signup'").select("clip_id", "frame", (I % 2 == 0).alias("mine"), (F.col("w") * F.col("h")).alias("area"), (F.col("score") * F.col("w") * F.col("h")).alias("hit"))
+    h = detections(spark, sf_dir).filter("source = 'signup'").select("clip_id", "frame", (ident() % 2 == 0).alias("mine"), (F.col("w") * F.col("h")).alias("area"), (F.col("score") * F.col("w") * F.col("h")).alias("hit"))
     share = lambda test: F.sum(F.when(test, F.col("hit"))) / F.nullif(F.sum(F.when(test, F.col("area"))), F.lit(0.0))
     f = h.groupBy("clip_id", "frame").agg(share(F.lit(True)).alias("share")).groupBy("clip_id").agg(F.max_by("frame", F.struct("share", -F.col("frame"))).alias("worst_frame"), F.round(F.max("share"), 9).alias("worst"))
     return h.groupBy("clip_id").agg(F.round(share(F.col("mine")), 9).alias("wearer"), F.round(share(~F.col("mine")), 9).alias("other")).join(f, "clip_id")
@@ -286,7 +289,7 @@ NAMES = ["/onnxruntime/run", "/cv2/resize", "_io.Buffered read", "/numpy/core",
 @query(f"""WITH n AS (SELECT event_id, {NAMES}[event_id % 5 + 1] AS name, value FROM events), c AS (SELECT *, CASE WHEN name LIKE '%/onnxruntime/%' THEN 'gpu' WHEN name LIKE '%_io.Buffered%' THEN 'subprocess' WHEN name LIKE '%/cv2/%' THEN 'cv2' WHEN name LIKE '%numpy%' THEN 'numpy' ELSE 'python' END AS kind FROM n)
 SELECT kind, count(*) AS calls, round(sum(value), 4) AS seconds FROM c GROUP BY kind""")
 def profile_categories(spark, sf_dir):
-    name = F.element_at(F.array(*map(F.lit, NAMES)), (I % 5 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (ident() % 5 + 1).cast("int"))
     kind = evaluation.category(name, [("/onnxruntime/", "gpu"), ("_io\\.Buffered", "subprocess"), ("/cv2/", "cv2"), ("numpy", "numpy")], "python")
     return load(spark, sf_dir, "events").groupBy(kind.alias("kind")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("seconds"))
 
@@ -359,7 +362,7 @@ posed AS (SELECT k, t, id, valid, CASE WHEN valid THEN list_transform(list_zip(p
 
 
 def _poses(spark, sf_dir):
-    e = events(spark, sf_dir).select((F.col("user_id") % 5).alias("k"), I.alias("id"), F.col("us").alias("t"))
+    e = events(spark, sf_dir).select((F.col("user_id") % 5).alias("k"), ident().alias("id"), F.col("us").alias("t"))
     i = F.col("id")
     raw = F.array((i % 7 - 3).cast("double"), (i % 5 - 2).cast("double"), (i % 3 - 1).cast("double"), (1 + i % 4).cast("double"))
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
@@ -403,7 +406,7 @@ def gravity_angle(spark, sf_dir):
 @query("""WITH l AS (SELECT user_id % 10 AS k, event_id AS row, epoch_us(ts) AS t, event_id * 2 AS frame FROM events WHERE event_type = 'click'), r AS (SELECT user_id % 10 AS k, event_id AS row, event_id * 3 AS frame FROM events WHERE event_type = 'purchase' AND event_id % 4 > 0),
 p AS (SELECT l.k, l.row AS left_row, r.row AS right_row, l.t FROM l JOIN r ON l.k = r.k AND r.row = l.row + 10) SELECT p.k, left_row, right_row, p.t, l.frame AS left_frame, r.frame AS right_frame FROM p JOIN l ON l.k = p.k AND l.row = left_row AND l.row % 5 > 0 JOIN r ON r.k = p.k AND r.row = right_row WHERE p.t >= 1704500000000000 AND p.t < 1706000000000000""")
 def stereo_frames(spark, sf_dir):
-    e = events(spark, sf_dir).select((F.col("user_id") % 10).alias("k"), I.alias("row"), F.col("us").alias("t"), "event_type")
+    e = events(spark, sf_dir).select((F.col("user_id") % 10).alias("k"), ident().alias("row"), F.col("us").alias("t"), "event_type")
     l, r = e.filter("event_type = 'click'"), e.filter("event_type = 'purchase' AND row % 4 > 0")  # noqa: E741
     pairs = l.select("k", F.col("row").alias("left_row"), (F.col("row") + 10).alias("right_row"), "t").join(r.select("k", F.col("row").alias("right_row")), ["k", "right_row"])
     frames = lambda df, n: df.select("k", "row", (F.col("row") * n).alias("frame"))
@@ -415,7 +418,7 @@ BONES = "b AS (SELECT user_id % 60 AS bone, CASE WHEN event_id % 9 = 0 THEN NULL
 
 @query(f"WITH {BONES} SELECT bone, count(v) FILTER (sure) AS sure, round(CASE WHEN count(v) FILTER (sure) >= 10 THEN median(v) FILTER (sure) ELSE median(v) END, 9) AS length FROM b GROUP BY bone")
 def reference_lengths(spark, sf_dir):
-    b = load(spark, sf_dir, "events").select((F.col("user_id") % 60).alias("bone"), F.when(I % 9 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("v"), (I % 10 < F.col("user_id") % 12).alias("sure"))
+    b = load(spark, sf_dir, "events").select((F.col("user_id") % 60).alias("bone"), F.when(ident() % 9 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("v"), (ident() % 10 < F.col("user_id") % 12).alias("sure"))
     return hands.reference_lengths(b, ["bone"], "v", F.col("sure")).withColumn("length", F.round("length", 9))
 
 
@@ -423,7 +426,7 @@ def reference_lengths(spark, sf_dir):
 s AS (SELECT clip_id, joint, lag(x) OVER w - 2 * x + lead(x) OVER w AS dx, lag(y) OVER w - 2 * y + lead(y) OVER w AS dy, ok AND lag(ok) OVER w AND lead(ok) OVER w AND lead(f) OVER w - lag(f) OVER w = 2 AS fine FROM j WINDOW w AS (PARTITION BY clip_id, joint ORDER BY f)),
 r AS (SELECT clip_id, joint, sqrt(sum(dx * dx + dy * dy) FILTER (fine) / (2 * nullif(count(*) FILTER (fine), 0))) AS rms FROM s GROUP BY ALL) SELECT clip_id, round(median(rms), 8) AS jitter, count(rms) AS joints FROM r GROUP BY clip_id"""))
 def joint_jitter(spark, sf_dir):
-    d = detections(spark, sf_dir).groupBy("clip_id", F.floor(F.col("frame") / 6).alias("f"), (F.col("track_id") % 7).alias("joint")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.bool_and(I % 29 > 0).alias("ok"))
+    d = detections(spark, sf_dir).groupBy("clip_id", F.floor(F.col("frame") / 6).alias("f"), (F.col("track_id") % 7).alias("joint")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.bool_and(ident() % 29 > 0).alias("ok"))
     return hands.joint_jitter(d, ["clip_id"], "joint", "f", ["x", "y"], "ok").withColumn("jitter", F.round("jitter", 8))
 
 

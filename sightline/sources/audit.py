@@ -39,7 +39,9 @@ def write_logs(payloads: DataFrame, key: str, order: str, payload: str) -> DataF
     return payloads.select(key, order, payload).groupBy(key).applyInPandas(kernel, f"{key} {dict(payloads.dtypes)[key]}, number long, line string")
 
 
-@F.arrow_udf("struct<json: boolean, seq: long, prev: string, type: string, stored: string, computed: string>")
+SAID = "struct<json: boolean, seq: long, prev: string, type: string, stored: string, computed: string>"
+
+
 def parsed(lines: pa.Array) -> pa.Array:
     """What a line says, and the hash that it should have."""
     out = []
@@ -62,7 +64,7 @@ def verify_logs(lines: DataFrame, key: str) -> DataFrame:
     something else does, a footer isn't last. Each test looks at a line and its neighbours. A missing value never passes for an equal one.
     """
     w = Window.partitionBy(key).orderBy("number")
-    rows = lines.filter(F.trim("line") != "").withColumn("number", F.row_number().over(w)).withColumn("p", parsed("line")).select(key, "number", "p.*")
+    rows = lines.filter(F.trim("line") != "").withColumn("number", F.row_number().over(w)).withColumn("p", F.arrow_udf(parsed, SAID)("line")).select(key, "number", "p.*")
     rows = rows.withColumns({"_before": F.when(F.col("number") == 1, F.lit(GENESIS)).otherwise(F.lag("stored").over(w)), "_last": F.lead("number").over(w).isNull()})
     differ = lambda a, b: ~a.eqNullSafe(b)
     said = lambda what: F.concat(F.lit(f"{what} at seq "), F.col("seq").cast("string"))
