@@ -92,7 +92,7 @@ def track_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})  # no negative zero
 
 
 def iou_sql(a: str, b: str) -> str:

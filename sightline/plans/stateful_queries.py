@@ -165,14 +165,16 @@ LEFT, RIGHT = ("(SELECT clip_id, frame, event_id, x + w / 2 AS cx, y + event_id
 
 @query(with_detections(f"""a AS {LEFT}, b AS {RIGHT},
 p AS (SELECT a.clip_id, a.frame, a.n AS i, b.n AS j, least(a.cnt, 2) AS na, least(b.cnt, 2) AS nb, a.event_id AS left_id, b.event_id AS right_id, CASE WHEN a.cx - b.cx BETWEEN -900 AND 900 THEN abs(a.cy - b.cy) ELSE 1e9 END AS cost FROM a JOIN b ON a.clip_id = b.clip_id AND a.frame = b.frame),
-g AS (SELECT *, sum(CASE WHEN i = j THEN cost END) OVER f AS straight, sum(CASE WHEN i <> j THEN cost END) OVER f AS crossed, row_number() OVER (PARTITION BY clip_id, frame ORDER BY cost, i, j) AS best FROM p WINDOW f AS (PARTITION BY clip_id, frame))
-SELECT clip_id, frame, left_id, right_id, round(cost, 6) AS cost FROM g WHERE cost <= 300 AND CASE WHEN na = 2 AND nb = 2 THEN (i = j) = (straight <= crossed) ELSE best = 1 END"""))
+g AS (SELECT clip_id, frame, least(any_value(na), any_value(nb)) AS pairs, CASE WHEN any_value(na) = 2 AND any_value(nb) = 2 THEN least(sum(CASE WHEN i = j THEN cost END), sum(CASE WHEN i <> j THEN cost END)) ELSE min(cost) END AS cost FROM p GROUP BY clip_id, frame)
+SELECT clip_id, frame, pairs, round(cost, 5) AS cost FROM g"""))
 def two_view_matches(spark, sf_dir):
+    """Pairs of each frame and their total cost: of matchings that cost the same, as distances on a line often do, any is best."""
     from pyspark.sql.window import Window
 
     d = coarse(spark, sf_dir, 12).withColumn("y", F.col("y") + F.col("event_id") % 997 / 1000.0)
     first = d.withColumn("n", F.row_number().over(Window.partitionBy("clip_id", "frame", "source").orderBy("event_id"))).filter("n <= 2")
-    return rounded(stateful.matched_views(first.filter("source = 'view'"), first.filter("source = 'click'"), ["clip_id", "frame"], 300.0, (-900.0, 900.0)), 6, "cost")
+    found = stateful.matched_views(first.filter("source = 'view'"), first.filter("source = 'click'"), ["clip_id", "frame"], 1e10, (-900.0, 900.0))
+    return found.groupBy("clip_id", "frame").agg(F.count("*").alias("pairs"), F.round(F.sum("cost"), 5).alias("cost"))
 
 
 @query()
