@@ -182,7 +182,7 @@ def test_repeated_rows_take_part_once(spark, monkeypatch):
     want = Counter({(5, 26, 5): 3000, (6, 27, 5): 1, (7, 26, None): 1, (None, 26, None): 2}) + Counter((k, 26, 100) for k in range(100, 160))
     for sent, hub in ((common.SENT, 1000), (300, 3), (0, 10**9)):
         monkeypatch.setattr(common, "HUB", hub)
-        monkeypatch.setattr(common.joined, "__defaults__", ("inner", None, sent))
+        monkeypatch.setattr(common.joined, "__defaults__", ("inner", None, sent, None))
         assert Counter(tuple(r) for r in neighbours.near_duplicates(docs).collect()) == want
     assert neighbours.one_of_each_group(docs).count() == 2 + 1 + 2 + 0 + 0  # 5, 100, 7 and the two rows without an id
 
@@ -228,7 +228,7 @@ def test_quality(docs, rows, empty):
 def test_quality_limit_follows_the_host(spark, monkeypatch, sent):
     """A line goes where more than line_share per cent of a host's documents hold it, and more than line_limit; hot lines and hosts by hubs too."""
     monkeypatch.setattr(common, "HUB", 3)
-    monkeypatch.setattr(common.joined, "__defaults__", ("inner", None, sent))
+    monkeypatch.setattr(common.joined, "__defaults__", ("inner", None, sent, None))
     say = lambda x: " ".join(f"{x}{'abcdefghijkl'[k]}" for k in range(12))
     data = [(h * 100 + k, (say("menu") + "\n" if k < shared else "") + say(f"own{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'abcdefghij'[k // 26]}"), f"host{h}") for h, (n, shared) in enumerate([(40, 5), (40, 4), (4, 4), (3, 3)]) for k in range(n)]
     found = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in got(quality.line_quality(spark.createDataFrame(data, "doc_id long, text string, source string"), 3, 10, 60))}
