@@ -75,3 +75,14 @@ def balanced_shares(df: DataFrame, group: str, name: str, size: str, shares: int
 
     kinds = dict(df.dtypes)
     return df.select(group, name, size).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {name} string, {size} long, share int")
+
+
+def claim_order(inputs: DataFrame, done: DataFrame, claims: DataFrame, key: str, size: str, now: int, lease: int) -> DataFrame:
+    """What may be claimed, the largest first: inputs that aren't done and whose last claim (key, owner, time) is older than lease; place, and the last owner if there was one."""
+    last = claims.groupBy(key).agg(F.max(F.struct("time", "owner")).alias("_c"))
+    free = inputs.join(done.select(key).distinct(), key, "left_anti").join(last, key, "left").filter(F.col("_c").isNull() | (F.lit(now) - F.col("_c.time") >= lease))
+    buckets = free.withColumn("_b", F.floor(F.log2(F.col(size) + 1)))
+    # numbered within powers of two of the size, so that no task orders everything
+    held = buckets.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = buckets.join(F.broadcast(held), "_b").withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(F.desc(size), key)))  # at most 64 sums
+    return rows.select(key, size, (F.col("_before") + F.col("_k")).alias("place"), F.col("_c.owner").alias("last_owner"))

@@ -118,3 +118,28 @@ def fast_spans(df: DataFrame, key: list[str], at: str, x: str, y: str, back: int
     w = Window.partitionBy(*key).orderBy(at)
     gone = lambda c: F.col(c) - F.lag(c, back).over(w)
     return df.withColumn("speed", F.hypot(gone(x), gone(y)) / gone(at)).filter(F.col("speed") >= least)
+
+
+def retimed_verdict(first: DataFrame, second: DataFrame, key: list[str], pts: str, order: str, base: str, payload: str) -> DataFrame:
+    """Why a retimed file isn't the first one's packets at the second's times, the first reason that holds, else empty: time base, frame count, timestamps (how many
+    differ, paired by rank), packets changed (a payload differs, paired in order)."""
+    counts = same_packets(first, second, key, pts)
+    w = Window.partitionBy(*key).orderBy(order)
+    a, b = (df.select(*key, F.row_number().over(w).alias("_rank"), F.col(payload).alias(n), F.col(base).alias(f"base_{n}")) for df, n in ((first, "a"), (second, "b")))
+    packets = a.join(b, [*key, "_rank"], "full_outer").groupBy(*key).agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"), F.max("base_a").alias("base_a"), F.max("base_b").alias("base_b"))
+    why = (
+        F.when(~F.col("base_a").eqNullSafe(F.col("base_b")), F.lit("time base")).when(F.col("first") != F.col("second"), F.lit("frame count"))
+        .when(F.col("mismatched") > 0, F.concat(F.col("mismatched").cast("string"), F.lit(" frames off"))).when(F.col("changed") > 0, F.lit("packets changed")).otherwise("")
+    )
+    return counts.join(packets, key).select(*key, why.alias("problem"))
+
+
+def destinations(files: DataFrame, path: str, source: str, target: str, suffix: str) -> DataFrame:
+    """Where each file below source goes below target, its name ending in suffix; own outputs stay out where source and target are one folder, and a target inside another
+    folder's source is refused (destination null)."""
+    own = F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1).endswith(suffix)
+    rest = F.substring(F.col(path), F.lit(len(source) + 2), F.length(path))
+    inside = target != source and target.startswith(f"{source}/")
+    named = F.concat(F.lit(f"{target}/"), F.regexp_replace(rest, r"(\.[^./]*)?$", ""), F.lit(suffix), F.regexp_extract(path, r"(\.[^./]*)$", 1))
+    kept = files.filter(~own) if source == target else files
+    return kept.select(path, F.lit(None).cast("string").alias("destination") if inside else named.alias("destination"))

@@ -87,3 +87,32 @@ def mirror_plan(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, [".mp4", "_out.MP4", ".csv", ".mov"])), (F.col("doc_id") % 4 + 1).cast("int"))
     f = load(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), kind).alias("path"))
     return records.mirror_plan(f, "path", [".mp4", ".mov"], "_out")
+
+
+@query(f"""WITH {PACKETS}, a AS (SELECT k, i, pts, i * 31 % 101 AS payload, 1 AS base FROM p), b AS (SELECT k, i, pts + CASE WHEN k % 5 = 2 AND i % 50 = 0 THEN 1 ELSE 0 END AS pts, CASE WHEN k % 5 = 3 AND i % 60 = 0 THEN -1 ELSE payload END AS payload, CASE WHEN k % 5 = 4 THEN 2 ELSE 1 END AS base FROM a WHERE NOT (k % 5 = 1 AND i % 70 = 0)),
+r AS (SELECT coalesce(x.k, y.k) AS k, count(*) FILTER (x.pts IS DISTINCT FROM y.pts) AS off, count(x.pts) AS nx, count(y.pts) AS ny FROM (SELECT k, pts, row_number() OVER (PARTITION BY k ORDER BY pts) AS n FROM a) x FULL JOIN (SELECT k, pts, row_number() OVER (PARTITION BY k ORDER BY pts) AS n FROM b) y ON x.k = y.k AND x.n = y.n GROUP BY 1),
+c AS (SELECT coalesce(x.k, y.k) AS k, count(*) FILTER (x.payload IS DISTINCT FROM y.payload) AS changed, max(x.base) AS ba, max(y.base) AS bb FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS n FROM a) x FULL JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS n FROM b) y ON x.k = y.k AND x.n = y.n GROUP BY 1)
+SELECT k, CASE WHEN ba IS DISTINCT FROM bb THEN 'time base' WHEN nx <> ny THEN 'frame count' WHEN off > 0 THEN off || ' frames off' WHEN changed > 0 THEN 'packets changed' ELSE '' END AS problem FROM r JOIN c USING (k)""")
+def retimed_verdicts(spark, sf_dir):
+    i, k = F.col("i"), F.col("k")
+    a = _packets(spark, sf_dir).select("k", "i", "pts", (i * 31 % 101).alias("payload"), F.lit(1).alias("base"))
+    b = a.filter(~((k % 5 == 1) & (i % 70 == 0))).withColumns({"pts": F.col("pts") + F.when((k % 5 == 2) & (i % 50 == 0), 1).otherwise(0), "payload": F.when((k % 5 == 3) & (i % 60 == 0), -1).otherwise(F.col("payload")), "base": F.when(k % 5 == 4, 2).otherwise(1)})
+    return records.retimed_verdict(a, b, ["k"], "pts", "i", "base", "payload")
+
+
+@query("""WITH f AS (SELECT 'in/' || source || '/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '_out.mp4' ELSE '.mov' END AS path FROM documents)
+SELECT path, 'out/' || regexp_replace(substring(path, 4), '\\.[^./]*$', '') || '_out' || regexp_extract(path, '(\\.[^./]*)$', 1) AS destination FROM f""")
+def destinations(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, [".mp4", "_out.mp4", ".mov"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    f = load(spark, sf_dir, "documents").select(F.concat(F.lit("in/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), kind).alias("path"))
+    return records.destinations(f, "path", "in", "out", "_out")
+
+
+@query("""WITH c AS (SELECT o_orderkey, arg_max(o_custkey % 9, (o_orderkey % 1000, o_custkey % 9)) AS owner, max(o_orderkey % 1000) AS time FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_orderkey)
+SELECT o.o_orderkey, round_even(o_totalprice, 0)::BIGINT AS size, row_number() OVER (ORDER BY round_even(o_totalprice, 0)::BIGINT DESC, o.o_orderkey) AS place, owner AS last_owner FROM orders o LEFT JOIN c USING (o_orderkey) WHERE o_orderstatus <> 'F' AND (owner IS NULL OR 1000 - time >= 400)""")
+def claim_order(spark, sf_dir):
+    from ..operators import dispatch
+
+    o = load(spark, sf_dir, "orders").withColumn("size", F.rint("o_totalprice").cast("long"))
+    claims = o.filter("o_custkey % 3 = 0").select("o_orderkey", (F.col("o_custkey") % 9).alias("owner"), (F.col("o_orderkey") % 1000).alias("time"))
+    return dispatch.claim_order(o.select("o_orderkey", "size"), o.filter("o_orderstatus = 'F'"), claims, "o_orderkey", "size", 1000, 400)
