@@ -23,6 +23,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 SENT = 16 << 20  # bytes that a join sends to every task at most
+FEW = 1 << 20  # the same where the other side has no texts and both grow with the corpus, so plans don't change with its size
 HUB = 1000  # rows of a key below which it is never set apart
 
 _own_folder: list[str] = []

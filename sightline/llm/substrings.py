@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, joined, mapped, one_each, written
+from .common import FEW, WORD, dropped, joined, mapped, one_each, written
 from .hashing import TextHasher, pieces, run_hashes, signed
 
 WINDOW = 35  # words of a repeat
@@ -143,7 +143,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     anchors = scanned.filter("anchor IS NOT NULL").select("anchor", "key", "again")
     shared = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("again").alias("again"), F.count("*").alias("texts")).filter("a <> b OR again").select("anchor", "texts")
     shared = written(shared, "repeat-shared")
-    seeds = written(joined(anchors.select("anchor", "key"), shared, "anchor", rows="texts").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "repeat-seeds")
+    seeds = written(joined(anchors.select("anchor", "key"), shared, "anchor", rows="texts", sent=FEW).groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "repeat-seeds")
     dropped(scanned)
     dropped(shared)
     # one row for each key: the smallest id; equal rows of one id give the same text again, which is dropped
@@ -157,7 +157,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     spread = written(mapped(texts, _extend(window, seed), "key long, start int, anchor long, whole long"), "repeat-windows")
     twice = spread.groupBy("anchor", "whole").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("start").alias("c"), F.max("start").alias("d"), F.count("*").alias("places")).filter("a <> b OR c <> d")
     twice = written(twice.select("anchor", "whole", "places"), "repeat-twice")
-    starts = written(joined(spread, twice, ["anchor", "whole"], rows="places").groupBy("key").agg(F.collect_set("start").alias("starts")), "repeat-starts")
+    starts = written(joined(spread, twice, ["anchor", "whole"], rows="places", sent=FEW).groupBy("key").agg(F.collect_set("start").alias("starts")), "repeat-starts")
     dropped(spread)
     dropped(twice)
     return rows, texts.select("key", "text", "n_words"), starts
@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, with
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
     parts = written(copies.join(cut, "key", "left").filter("copies > 1 OR gone IS NOT NULL"), "repeat-cut")
     every = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    out = joined(rows, parts if with_spans else parts.drop("spans"), "key", "left", rows="copies")
+    out = joined(rows, parts if with_spans else parts.drop("spans"), "key", "left", rows="copies", sent=FEW)
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
         "doc_id", "n_words", F.when(every, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
