@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import rules
-from ..functions.geometry import centre, iou, long_side, renamed
+from ..functions.geometry import centre, long_side, renamed
 from ..operators import hands, spatial, suppression
-from .registry import CAMERA_SQL, IOU_SQL, camera, detections, fold_sql, iou_sql, load, query, rounded, with_detections
+from .registry import CAMERA_SQL, IOU_SQL, camera, detections, fold_sql, query, rounded, with_detections
 
 
 def ident():

@@ -333,8 +333,6 @@ def sampled_frames(spark, sf_dir):
 
 @query(with_detections("SELECT source AS surface, count(*) AS lines, count(DISTINCT (clip_id, frame)) AS frames, count(*) / (SELECT count(*) FROM det) AS share FROM det GROUP BY source"))
 def surface_histogram(spark, sf_dir):
-    from ..operators.records import shares_of_total
-
     d = detections(spark, sf_dir)
     n = d.groupBy(F.col("source").alias("surface")).agg(F.count("*").alias("lines"), F.count_distinct(F.struct("clip_id", "frame")).alias("frames"))
     return n.withColumn("share", F.col("lines") / F.sum("lines").over(Window.partitionBy()))

@@ -5,12 +5,10 @@ import math
 import random
 
 import numpy as np
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sightline import plans
-from sightline.operators import asof, dispatch, identity, intervals, stateful
+from sightline.operators import asof, dispatch, identity, intervals
 from sightline.sources import ingest
 from sightline.streaming import twins
 
