@@ -203,8 +203,8 @@ def documents_without_repeats(docs: DataFrame, window: int = WINDOW, seed: int =
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
     # first only whether a text changes, then the spans of those that do
     marks = written(spans.select("key", "all_gone", "copies"), "repeat-marks")
-    own = joined(own, marks, "key", "left", rows="copies").drop("copies").filter("all_gone IS NULL OR NOT all_gone")
-    cut = joined(own.filter("NOT all_gone").drop("all_gone"), spans.filter("NOT all_gone").drop("all_gone"), "key", rows="copies")
+    own = joined(own, marks, "key", "left", rows="copies", sift=True).drop("copies").filter("all_gone IS NULL OR NOT all_gone")
+    cut = joined(own.filter("NOT all_gone").drop("all_gone"), spans.filter("NOT all_gone").drop("all_gone"), "key", rows="copies", sift=True)
     # the words between spans, joined; a one-element array binds the words to a name that is used again
     gaps = "transform(sequence(0, size(spans) div 2), i -> slice(w, IF(i = 0, 0, spans[2 * i - 1]) + 1, IF(2 * i = size(spans), size(w), spans[2 * i]) - IF(i = 0, 0, spans[2 * i - 1])))"
     cut = cut.withColumn("words", F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)))

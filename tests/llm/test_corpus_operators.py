@@ -187,6 +187,28 @@ def test_repeated_rows_take_part_once(spark, monkeypatch):
     assert neighbours.one_of_each_group(docs).count() == 2 + 1 + 2 + 0 + 0  # 5, 100, 7 and the two rows without an id
 
 
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """Beyond what may be sent, copies are told from their representatives without a join of texts; the bitmap's chance hits change nothing."""
+    say = lambda x: " ".join(f"{x}{k}" for k in range(30))
+    rows = [(k, say(k % 40)) for k in range(120)] + [(500 + k, say(k) + " z") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, plain = [], neighbours.mapped
+    monkeypatch.setattr(neighbours, "mapped", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df, *a))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for bits in (27, 9):  # 512 places for 60 classes: many chance hits
+            plans.clear()
+            monkeypatch.setattr(common, "BITS", bits)
+            monkeypatch.setattr(common.joined, "__defaults__", ("inner", None, 0, None))
+            found = {r["doc_id"]: r["component_id"] for r in neighbours.near_duplicates(docs).collect()}
+            assert found == {i: (i % 40 if i < 120 else i - 500) for i, _ in rows}
+            assert "SortMergeJoin" not in plans[1]  # the texts whose prefixes are posted
+            assert neighbours.one_of_each_group(docs).count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_frequent_shingles_are_tied(spark, monkeypatch):
     """Lists too long for pairs give the same components."""
     monkeypatch.setattr(neighbours, "FREQUENT", 3)
@@ -451,8 +473,8 @@ def test_joined_by_hubs(spark, monkeypatch):
     for how in ("inner", "left"):
         want = Counter(map(tuple, big.join(small, "g", how).select("g", "k", "rows", "m").collect()))
         for sent in (common.SENT, 100, 0):
-            for rows in (None, "rows"):
-                assert Counter(map(tuple, common.joined(big, small, "g", how, rows, sent).select("g", "k", "rows", "m").collect())) == want
+            for rows, sift in ((None, False), ("rows", False), (None, True), ("rows", True)):
+                assert Counter(map(tuple, common.joined(big, small, "g", how, rows, sent, sift=sift).select("g", "k", "rows", "m").collect())) == want
 
 
 def test_temporary_tables_go(spark):
