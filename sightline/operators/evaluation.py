@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,3 +188,17 @@ def conversion_rows(files: DataFrame) -> DataFrame:
 def category(text: Column, rules: list[tuple[str, str]], other: str) -> Column:
     """The name of the first pattern that a text matches, else other."""
     return reduce(lambda a, r: a.when(text.rlike(r[0]), F.lit(r[1])), rules, F.when(F.lit(False), F.lit(""))).otherwise(F.lit(other))
+
+
+def covered_picture(boxes: DataFrame, key: list[str], width: float, height: float) -> DataFrame:
+    """The share of a picture that the boxes of each key cover together; boxes with a missing number cover nothing."""
+    from ..functions.areas import covered
+
+    rows = boxes.select(*key, *(F.col(c).cast("double").alias(c) for c in "xywh"))
+
+    def kernel(frame: pa.Table) -> pa.Table:
+        at = np.stack([frame.column(c).to_numpy().astype(float) for c in "xywh"], axis=1)
+        share = covered(at[~np.isnan(at).any(1)], np.array([[0.0, 0.0, width, height]])) / (width * height)
+        return frame.select(key).slice(0, 1).append_column("share", pa.array(share))
+
+    return rows.groupBy(*key).applyInArrow(kernel, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key) + ", share double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,12 +166,21 @@ def zoned_match_report(truth: DataFrame, found: DataFrame, floors: list[float],
 
 def covered_by_union(boxes: DataFrame, zones: DataFrame, key: list[str], row: str) -> DataFrame:
     """Each box with the share of it that the zones of its key cover together."""
-    from ..functions.rules import union_area
-
-    a, b = renamed(boxes.select(*key, row, "x", "y", "w", "h"), "a_"), renamed(zones.select(*key, "x", "y", "w", "h"), "b_")
-    joined = a.join(b, [F.col(f"a_{k}") == F.col(f"b_{k}") for k in key] + [overlap("a_", "b_") > 0], "left")
-    end = lambda p, c, d: F.col(f"{p}{c}") + F.col(f"{p}{d}")
-    x, y = (F.greatest(f"a_{c}", f"b_{c}") for c in "xy")
-    part = F.struct(x.alias("x"), y.alias("y"), (F.least(end("a_", "x", "w"), end("b_", "x", "w")) - x).alias("w"), (F.least(end("a_", "y", "h"), end("b_", "y", "h")) - y).alias("h"))
-    parts = joined.groupBy(F.col(f"a_{row}").alias(row), area("a_").alias("area")).agg(F.collect_list(F.when(F.col("b_x").isNotNull(), part)).alias("parts"))
-    return parts.select(row, (union_area(F.col("parts")) / F.col("area")).alias("share"))
+    from ..functions.areas import covered
+
+    known = F.lit(True)
+    for c in [*key, *"xywh"]:
+        known = known & F.col(c).isNotNull()
+    box = [F.col(c).cast("double").alias(c) for c in "xywh"]
+    rows = boxes.select(*key, row, *box, F.lit(False).alias("_zone")).distinct()
+    rows = rows.unionByName(zones.filter(known).select(*key, F.lit(None).cast(rows.schema[row].dataType).alias(row), *box, F.lit(True).alias("_zone")))
+
+    def kernel(frame: pa.Table) -> pa.Table:
+        zone = frame.column("_zone").to_numpy()
+        at = np.stack([np.nan_to_num(frame.column(c).to_numpy().astype(float)) for c in "xywh"], axis=1)
+        own = frame.select([row, "w", "h"]).filter(pa.array(~zone))
+        return own.append_column("covered", pa.array(covered(at[zone], at[~zone])))
+
+    of = next(f for f in rows.schema if f.name == row)
+    found = rows.groupBy(*key).applyInArrow(kernel, f"`{row}` {of.dataType.simpleString()}, w double, h double, covered double")
+    return found.select(row, (F.col("covered") / area()).alias("share"))

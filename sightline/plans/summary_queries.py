@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import bucket, long_side
-from ..functions.rules import spread_places, union_area
+from ..functions.rules import spread_places
 from ..operators import evaluation, hands, intervals
 from .registry import CAMERA_SQL, camera, detections, events, load, query, rounded, with_detections
 from .rule_queries import KINDS, UNION, kinds
@@ -89,10 +89,7 @@ SELECT p.event_id // 10000000 AS clip_id, p.event_id % 10000000 // 10 AS frame,
 def masked_area_by_kind(spark, sf_dir):
     s = F.col("source")
     d = detections(spark, sf_dir).withColumns({"frame": F.floor(F.col("frame") / 36), "kind": F.when(s == "view", 0).when(s == "click", 1).otherwise(2).cast("long")})
-    x, y = (F.greatest(F.col(c), F.lit(0.0)) for c in "xy")
-    part = F.struct(x.alias("x"), y.alias("y"), (F.least(F.col("x") + F.col("w"), F.lit(1600.0)) - x).alias("w"), (F.least(F.col("y") + F.col("h"), F.lit(1300.0)) - y).alias("h"))
-    boxes = d.groupBy("clip_id", "frame", "kind").agg(F.collect_list(F.when((part["w"] > 0) & (part["h"] > 0), part)).alias("b"))
-    return boxes.select("clip_id", "frame", "kind", F.round(union_area(F.col("b")) / (1600 * 1300), 9).alias("share"))
+    return rounded(evaluation.covered_picture(d, ["clip_id", "frame", "kind"], 1600, 1300), 9, "share")
 
 
 @query(with_detections("z AS (SELECT clip_id, frame, count(*) FILTER (score >= 0.5) AS live, least(sum(CASE WHEN score >= 0.5 THEN w * h ELSE 0 END) / (1600 * 1300), 1) AS share FROM det GROUP BY ALL) SELECT clip_id, count(*) FILTER (live > 0) AS frames, round(avg(share), 9)::DOUBLE AS mean, max(share)::DOUBLE AS max, round(avg(live), 9) AS hands FROM z GROUP BY clip_id"))
