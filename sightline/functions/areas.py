@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 CELLS = 4_000_000  # of the grid between all edges that are looked at together
+FEW = 2  # boxes that are summed cell by cell instead of by sums from the top
 
 
 def covered(zones: np.ndarray, boxes: np.ndarray) -> np.ndarray:
@@ -25,19 +26,30 @@ def covered(zones: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     wide, high = np.diff(xs), np.diff(ys)
     zl, zr, bl, br = (np.searchsorted(xs, v) for v in (zl, zr, bl, br))
     zt, zb, bt, bb = (np.searchsorted(ys, v) for v in (zt, zb, bt, bb))
-    step = max(1, CELLS // len(ys))
+    tall = len(ys)
+    step = max(1, CELLS // tall)
     for a in range(0, len(wide), step):
         b = min(a + step, len(wide))
         here, mine = np.flatnonzero((zl < b) & (zr > a)), np.flatnonzero((bl < b) & (br > a))
         if not len(here) or not len(mine):
             continue
         left, right = np.maximum(zl[here], a) - a, np.minimum(zr[here], b) - a
-        depth = np.zeros((b - a + 1, len(ys)), dtype=np.int32)
-        for x, y, by in ((left, zt, 1), (left, zb, -1), (right, zt, -1), (right, zb, 1)):
-            np.add.at(depth, (x, y[here]), by)
-        depth = depth.cumsum(0).cumsum(1)[:-1, :-1]
-        sums = np.zeros((b - a + 1, len(ys)))
-        np.cumsum(((depth > 0) * high).cumsum(1) * wide[a:b, None], axis=0, out=sums[1:, 1:])
-        p, q = np.maximum(bl[mine], a) - a, np.minimum(br[mine], b) - a
-        out[live[mine]] += sums[q, bb[mine]] - sums[p, bb[mine]] - sums[q, bt[mine]] + sums[p, bt[mine]]
+        top, low = zt[here], zb[here]
+        depth = np.zeros((b - a + 1, tall), dtype=np.int32)
+        at = np.concatenate([left * tall + top, right * tall + low, left * tall + low, right * tall + top])
+        np.add.at(depth.reshape(-1), at, np.repeat(np.array([1, -1], dtype=np.int32), 2 * len(here)))
+        np.cumsum(depth, axis=0, out=depth)
+        np.cumsum(depth, axis=1, out=depth)
+        filled = depth[:-1, :-1] > 0
+        p, q, s, t = np.maximum(bl[mine], a) - a, np.minimum(br[mine], b) - a, bt[mine], bb[mine]
+        if len(mine) <= FEW:
+            out[live[mine]] += [wide[a + i : a + j] @ (filled[i:j, k:n] @ high[k:n]) for i, j, k, n in zip(p, q, s, t, strict=True)]
+            continue
+        sums = np.zeros((b - a + 1, tall))
+        part = sums[1:, 1:]
+        np.multiply(filled, high, out=part)
+        np.cumsum(part, axis=1, out=part)
+        part *= wide[a:b, None]
+        np.cumsum(part, axis=0, out=part)
+        out[live[mine]] += sums[q, t] - sums[p, t] - sums[q, s] + sums[p, s]
     return out

@@ -193,6 +193,7 @@ def category(text: Column, rules: list[tuple[str, str]], other: str) -> Column:
 def covered_picture(boxes: DataFrame, key: list[str], width: float, height: float) -> DataFrame:
     """The share of a picture that the boxes of each key cover together; boxes with a missing number cover nothing."""
     from ..functions.areas import covered
+    from ..functions.geometry import dealt
 
     rows = boxes.select(*key, *(F.col(c).cast("double").alias(c) for c in "xywh"))
 
@@ -201,4 +202,4 @@ def covered_picture(boxes: DataFrame, key: list[str], width: float, height: floa
         share = covered(at[~np.isnan(at).any(1)], np.array([[0.0, 0.0, width, height]])) / (width * height)
         return frame.select(key).slice(0, 1).append_column("share", pa.array(share))
 
-    return rows.groupBy(*key).applyInArrow(kernel, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key) + ", share double")
+    return dealt(rows, *key).groupBy(*key).applyInArrow(kernel, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key) + ", share double")

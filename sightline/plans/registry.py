@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import dealt  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -91,11 +93,6 @@ def track_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered_islands(one.withColumn("_step", step), ["track_id"], ["frame"], F.coalesce(F.col("_step") > 60, F.lit(True))).drop("_step")
 
 
-def dealt(df: DataFrame, *key: str) -> DataFrame:
-    """df by key in as many parts as a shuffle has: few rows whose join makes many are the work of all tasks, however small their files are."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
-
-
 def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})  # no negative zero
 

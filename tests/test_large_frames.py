@@ -75,3 +75,18 @@ def test_a_large_frame_takes_seconds():
     suppression.kept_hands(boxes[:, None, :2] + np.arange(21)[:, None] * np.array([4.0, 3.0]), 11, 10.0)
     areas.covered(boxes, boxes)
     assert time.time() - start < 30
+
+
+def test_few_small_rows_are_the_work_of_all_tasks(spark):
+    from sightline.operators import evaluation
+
+    boxes = spark.range(4000).selectExpr("id % 100 AS k", "DOUBLE(id * 7 % 1500) AS x", "DOUBLE(id * 11 % 1200) AS y", "50.0D AS w", "60.0D AS h")
+    found = evaluation.covered_picture(boxes, ["k"], 1600, 1300)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # small shuffles are merged into one task otherwise
+    assert found.count() == 100
+
+
+def test_one_box_and_many_boxes_are_covered_alike():
+    zones, picture = some_boxes(3000, side=1500), np.array([[0.0, 0.0, 1600.0, 1300.0]])
+    alone = areas.covered(zones, picture)
+    assert alone == areas.covered(zones, np.repeat(picture, 3, axis=0))[:1]
