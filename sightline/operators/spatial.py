@@ -167,6 +167,7 @@ def zoned_match_report(truth: DataFrame, found: DataFrame, floors: list[float],
 def covered_by_union(boxes: DataFrame, zones: DataFrame, key: list[str], row: str) -> DataFrame:
     """Each box with the share of it that the zones of its key cover together."""
     from ..functions.areas import covered
+    from ..functions.geometry import dealt
 
     known = F.lit(True)
     for c in [*key, *"xywh"]:
@@ -182,5 +183,5 @@ def covered_by_union(boxes: DataFrame, zones: DataFrame, key: list[str], row: st
         return own.append_column("covered", pa.array(covered(at[zone], at[~zone])))
 
     of = next(f for f in rows.schema if f.name == row)
-    found = rows.groupBy(*key).applyInArrow(kernel, f"`{row}` {of.dataType.simpleString()}, w double, h double, covered double")
+    found = dealt(rows, *key).groupBy(*key).applyInArrow(kernel, f"`{row}` {of.dataType.simpleString()}, w double, h double, covered double")
     return found.select(row, (F.col("covered") / area()).alias("share"))

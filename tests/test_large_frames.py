@@ -90,3 +90,12 @@ def test_one_box_and_many_boxes_are_covered_alike():
     zones, picture = some_boxes(3000, side=1500), np.array([[0.0, 0.0, 1600.0, 1300.0]])
     alone = areas.covered(zones, picture)
     assert alone == areas.covered(zones, np.repeat(picture, 3, axis=0))[:1]
+
+
+def test_zones_of_small_tables_are_the_work_of_all_tasks(spark):
+    from sightline.operators import spatial
+
+    boxes = spark.range(4000).selectExpr("id AS event_id", "id % 100 AS k", "DOUBLE(id * 7 % 1500) AS x", "DOUBLE(id * 11 % 1200) AS y", "50.0D AS w", "60.0D AS h")
+    found = spatial.covered_by_union(boxes.filter("event_id % 5 = 0"), boxes.filter("event_id % 5 > 0"), ["k"], "event_id")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.count() == 800
